@@ -24,6 +24,8 @@ TOKENIZERS = os.environ.get("QUILLARN_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 #: Words a worker remembers before it forgets them all.
 KNOWN_WORDS = 400_000
+#: Distinct words one recursive query merges.
+QUERY_WORDS = 16_384
 
 # The tokenizer's word pattern; \s is spelled out because Java's own is ASCII only.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -71,6 +73,7 @@ class Merger:
         self.con = duckdb.connect()
         self.con.execute("SET threads = 1")
         self.con.execute("SET memory_limit = '400MB'")
+        self.con.execute("SET temp_directory = ''")
         self.con.register("m", pa.table({"pair": left * 65536 + right, "rank": np.arange(len(merges)), "new": new}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.byte_id = np.zeros(256, np.int64)
@@ -122,7 +125,9 @@ class Merger:
             if len(self.known) + len(fresh) > KNOWN_WORDS:
                 self.forget()
                 fresh = list(range(len(names)))
-            ids, counts = self.merge(distinct.take(pa.array(fresh, pa.int64())))
+            words = distinct.take(pa.array(fresh, pa.int64()))
+            parts = [self.merge(words.slice(i, QUERY_WORDS)) for i in range(0, len(words), QUERY_WORDS)]
+            ids, counts = (np.concatenate(x) for x in zip(*parts))
             base = len(self.known)
             self.known.update((names[k], base + j) for j, k in enumerate(fresh))
             self.ids.append(ids)

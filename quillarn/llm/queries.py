@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillarn.llm import encode as _encode
+from quillarn.llm import leaks as _leaks
 from quillarn.sources.tables import table
 
 QUERIES: dict = {}
@@ -23,3 +24,23 @@ def query(sql: str | None = None):
 @query()
 def p8_ids(spark: SparkSession, data: str) -> DataFrame:
     return _encode.encode(table(spark, data, "documents"))
+
+
+_WORDS = r"""list_filter(regexp_split_to_array(replace(lower(regexp_replace({}, '</?[A-Za-z][^<>]*>|<\|[^<>|]*\|>|&#?\w{{1,8}};|\]\([^()\s]*\)', ' ', 'g')), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"""
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL),
+dw AS (SELECT doc_id, w[i : i + 11] AS g FROM d, unnest(range(1, len(w) - 10)) AS r(i)),
+e AS (SELECT item_id, {_WORDS.format('question')} AS w FROM eval_item UNION ALL SELECT item_id, {_WORDS.format('context')} FROM eval_item),
+ew AS (SELECT DISTINCT item_id, w[i : i + 11] AS g FROM e, unnest(range(1, len(w) - 10)) AS r(i))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)
+""")
+def p1_found(spark: SparkSession, data: str) -> DataFrame:
+    return _leaks.leaks(table(spark, data, "documents"), table(spark, data, "eval_item"))
+
+
+@query()
+def p1_near(spark: SparkSession, data: str) -> DataFrame:
+    """Also windows of 16 words with one word changed."""
+    return _leaks.leaks(table(spark, data, "documents"), table(spark, data, "eval_item"), words=16, edits=1)

@@ -3,8 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillarn.llm import duplicates as _duplicates
 from quillarn.llm import encode as _encode
+from quillarn.llm import groups as _groups
 from quillarn.llm import leaks as _leaks
+from quillarn.llm import split as _split
 from quillarn.sources.tables import table
 
 QUERIES: dict = {}
@@ -44,3 +47,69 @@ def p1_found(spark: SparkSession, data: str) -> DataFrame:
 def p1_near(spark: SparkSession, data: str) -> DataFrame:
     """Also windows of 16 words with one word changed."""
     return _leaks.leaks(table(spark, data, "documents"), table(spark, data, "eval_item"), words=16, edits=1)
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) > 2000")
+def p2_found(spark: SparkSession, data: str) -> DataFrame:
+    return _split.pieces(table(spark, data, "documents")).where("piece = 0").select("doc_id")
+
+
+@query()
+def p2_pieces(spark: SparkSession, data: str) -> DataFrame:
+    return _split.pieces(table(spark, data, "documents"))
+
+
+_FOLD = "replace(replace(lower({}), 'ß', 'ss'), 'ς', 'σ')"
+_BARE = f"regexp_replace({_FOLD}, '[\\p{{{{P}}}}$+<=>^`|~\\s\\p{{{{Z}}}}\\x85]+', '', 'g')"
+_NAME = f"nullif(regexp_replace({_FOLD}, '[_\\s\\p{{{{Z}}}}\\x85]+', '', 'g'), '')"
+_GROUPS = f"""
+WITH RECURSIVE k AS (
+  SELECT stable_id, split, 't' || {_NAME.format('source_title')} AS t, 's' || {_NAME.format('subject')} AS s, 'q' || nullif({_BARE.format('question')}, '') AS q FROM calibration),
+n AS (SELECT stable_id, split, unnest(list_filter([t, s, q], lambda x: x IS NOT NULL)) AS key, coalesce(t, s, q) AS head FROM k),
+e AS (SELECT DISTINCT head AS a, key AS b FROM n),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, a FROM l UNION SELECT r.a, l.b FROM reach AS r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS comp FROM reach GROUP BY a),
+g AS (SELECT DISTINCT n.stable_id, n.split, c.comp FROM n JOIN c ON n.head = c.a)
+"""
+
+
+@query(_GROUPS + """
+SELECT stable_id FROM g WHERE comp IN (SELECT comp FROM g GROUP BY comp HAVING count(DISTINCT split) > 1)
+""")
+def p3_found(spark: SparkSession, data: str) -> DataFrame:
+    return _groups.torn(_groups.grouped(table(spark, data, "calibration"))).select("stable_id")
+
+
+@query()
+def p3_assignment(spark: SparkSession, data: str) -> DataFrame:
+    return _groups.assign(_groups.grouped(table(spark, data, "calibration")))
+
+
+@query()
+def p3_shares(spark: SparkSession, data: str) -> DataFrame:
+    return _groups.shares_of(_groups.assign(_groups.grouped(table(spark, data, "calibration"))))
+
+
+_CANON = f"""
+WITH m AS (SELECT ordinal, list_sort(list_transform(json_keys(metadata), lambda j: {_BARE.format('j')} || chr(2) || coalesce({_BARE.format("json_extract_string(metadata, '$." + chr(34) + "' || j || '" + chr(34) + "')")}, chr(1)))) AS f FROM qa_ref),
+c AS (SELECT q.ordinal, struct_pack(d := {_BARE.format('dataset')}, q := {_BARE.format('question')}, a := {_BARE.format('answer')},
+  l := list_transform(aliases, lambda x: {_BARE.format('x')}), f := m.f) AS key FROM qa_ref AS q JOIN m USING (ordinal))
+"""
+
+
+@query(_CANON + """
+SELECT least AS ordinal_a, ordinal AS ordinal_b FROM (SELECT ordinal, min(ordinal) OVER (PARTITION BY key) AS least FROM c) WHERE ordinal > least
+""")
+def p4_found(spark: SparkSession, data: str) -> DataFrame:
+    return _duplicates.pairs(table(spark, data, "qa_ref"))
+
+
+@query(_CANON + "SELECT min(ordinal) AS ordinal, count(*) AS copies FROM c GROUP BY key")
+def p4_copies(spark: SparkSession, data: str) -> DataFrame:
+    return _duplicates.groups(table(spark, data, "qa_ref"))
+
+
+@query()
+def p4_records(spark: SparkSession, data: str) -> DataFrame:
+    return _duplicates.collapsed(table(spark, data, "qa_ref"))

@@ -7,6 +7,7 @@ from quillarn.llm import duplicates as _duplicates
 from quillarn.llm import encode as _encode
 from quillarn.llm import groups as _groups
 from quillarn.llm import leaks as _leaks
+from quillarn.llm import mojibake as _mojibake
 from quillarn.llm import split as _split
 from quillarn.sources.tables import table
 
@@ -113,3 +114,13 @@ def p4_copies(spark: SparkSession, data: str) -> DataFrame:
 @query()
 def p4_records(spark: SparkSession, data: str) -> DataFrame:
     return _duplicates.collapsed(table(spark, data, "qa_ref"))
+
+
+@query()
+def p10_found(spark: SparkSession, data: str) -> DataFrame:
+    return _mojibake.restored(table(spark, data, "documents")).select("doc_id")
+
+
+@query()
+def p10_restored(spark: SparkSession, data: str) -> DataFrame:
+    return _mojibake.restored(table(spark, data, "documents"))

@@ -7,6 +7,7 @@ from quillarn.llm import duplicates as _duplicates
 from quillarn.llm import encode as _encode
 from quillarn.llm import groups as _groups
 from quillarn.llm import leaks as _leaks
+from quillarn.llm import lookalike as _lookalike
 from quillarn.llm import mojibake as _mojibake
 from quillarn.llm import split as _split
 from quillarn.sources.tables import table
@@ -124,3 +125,18 @@ def p10_found(spark: SparkSession, data: str) -> DataFrame:
 @query()
 def p10_restored(spark: SparkSession, data: str) -> DataFrame:
     return _mojibake.restored(table(spark, data, "documents"))
+
+
+@query()
+def p5_found(spark: SparkSession, data: str) -> DataFrame:
+    return _lookalike.same_reading(table(spark, data, "predictions"), [table(spark, data, "qa_ref"), table(spark, data, "eval_item")])
+
+
+@query()
+def p5_predictions(spark: SparkSession, data: str) -> DataFrame:
+    return _lookalike.found(table(spark, data, "predictions"), [table(spark, data, "qa_ref"), table(spark, data, "eval_item")])[0]
+
+
+@query()
+def p5_aliases(spark: SparkSession, data: str) -> DataFrame:
+    return _lookalike.found(table(spark, data, "predictions"), [table(spark, data, "qa_ref"), table(spark, data, "eval_item")])[1]

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillarn.llm import defects as _defects
 from quillarn.llm import duplicates as _duplicates
 from quillarn.llm import encode as _encode
 from quillarn.llm import groups as _groups
@@ -140,3 +141,12 @@ def p5_predictions(spark: SparkSession, data: str) -> DataFrame:
 @query()
 def p5_aliases(spark: SparkSession, data: str) -> DataFrame:
     return _lookalike.found(table(spark, data, "predictions"), [table(spark, data, "qa_ref"), table(spark, data, "eval_item")])[1]
+
+
+def _refs(spark: SparkSession, data: str) -> list[DataFrame]:
+    return [table(spark, data, "qa_ref"), table(spark, data, "eval_item")]
+
+
+@query()
+def p6_found(spark: SparkSession, data: str) -> DataFrame:
+    return _defects.defects(table(spark, data, "predictions"), _refs(spark, data), table(spark, data, "documents"))

@@ -72,6 +72,9 @@ COMMON = {
     "it": "il lo la gli le un uno una di del della e è sono era fu chi che cosa quale quando dove come quanto perché si in per con senza su secondo non più anno città suo al è questo questa",
 }
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
+#: Names and numbers alone: nothing but words in capitals and particles, without a full stop.
+NAMES = regex.compile(r"[\p{Lu}\d][\p{L}\p{M}\d'’,-]*+(?: (?:of|de|von|the|at|to|from|[\p{Lu}\d][\p{L}\p{M}\d'’,-]*+))*+")
+ALIEN = regex.compile(r"[^\p{Latin}\p{Common}\p{Inherited}]")
 STOPS = tuple(".!?。！？…)]\"”’'»）")
 FOREIGN = {s: regex.compile(rf"\p{{{s}}}") for s in ("Cyrillic", "Han", "Hiragana", "Katakana", "Hangul", "Greek", "Arabic", "Hebrew", "Thai", "Devanagari")}
 LIKE_LATIN = set("".join(lookalike.LOOKS.values()))
@@ -200,6 +203,15 @@ def fit_languages(documents: DataFrame) -> Languages:
 class Judge:
     def __init__(self, languages: Languages, ends: Ends):
         self.languages, self.ends = languages, ends
+        self.memo: dict[str, list[str]] = {}
+
+    def asked(self, question: str) -> list[str]:
+        """The words of a question; those of the last ones are remembered."""
+        if question not in self.memo:
+            if len(self.memo) > 50_000:
+                self.memo.clear()
+            self.memo[question] = _words(question)
+        return self.memo[question]
 
     def judge(self, form: str | None, question: str | None, forms: list[str]) -> str | None:
         """The defect of a prediction in its one form, or None."""
@@ -207,9 +219,13 @@ class Judge:
             return "empty"
         if form in forms:
             return None
+        q = self.asked(question or "")
+        if NAMES.fullmatch(form) and (not q or form.split(" ", 1)[0].casefold() != q[0]):
+            # no phrase, so no refusal, copy or language
+            return "truncated" if form[-1] in "-," or (form[-1].isalpha() and self.cut(form, forms)) else None
         if self.refuses(form, forms):
             return "refusal"
-        q, p = _words(question or ""), _words(form)
+        p = _words(form)
         rest = self.after_copy(q, p)
         if rest is None:
             return "copy"
@@ -259,7 +275,7 @@ class Judge:
         return None
 
     def foreign(self, form: str, question: str) -> bool:
-        for script, pattern in FOREIGN.items():
+        for pattern in FOREIGN.values() if ALIEN.search(form) else ():
             mine = [c for c in pattern.findall(form) if c not in LIKE_LATIN]
             letters = len(regex.findall(r"\p{L}", question)) or 1
             if len(mine) >= 3 and len(pattern.findall(question)) < 0.3 * letters and len(mine) >= 0.1 * len(regex.findall(r"\p{L}", form)):

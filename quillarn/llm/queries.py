@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillarn.llm import defects as _defects
 from quillarn.llm import duplicates as _duplicates
@@ -9,7 +10,9 @@ from quillarn.llm import encode as _encode
 from quillarn.llm import groups as _groups
 from quillarn.llm import leaks as _leaks
 from quillarn.llm import lookalike as _lookalike
+from quillarn.llm import mix as _mix
 from quillarn.llm import mojibake as _mojibake
+from quillarn.llm import overlap as _overlap
 from quillarn.llm import split as _split
 from quillarn.sources.tables import table
 
@@ -150,3 +153,25 @@ def _refs(spark: SparkSession, data: str) -> list[DataFrame]:
 @query()
 def p6_found(spark: SparkSession, data: str) -> DataFrame:
     return _defects.defects(table(spark, data, "predictions"), _refs(spark, data), table(spark, data, "documents"))
+
+
+@query()
+def p7_found(spark: SparkSession, data: str) -> DataFrame:
+    found = _overlap.overlaps(table(spark, data, "calibration"))
+    return found.select(F.least("train_id", "eval_id").alias("stable_id_a"), F.greatest("train_id", "eval_id").alias("stable_id_b")).distinct()
+
+
+@query()
+def p7_report(spark: SparkSession, data: str) -> DataFrame:
+    rows = table(spark, data, "calibration")
+    return _overlap.report(_overlap.overlaps(rows), rows)
+
+
+@query()
+def p9_mix(spark: SparkSession, data: str) -> DataFrame:
+    return _mix.mix(table(spark, data, "documents"), table(spark, data, "mix_target"))[0]
+
+
+@query()
+def p9_shares(spark: SparkSession, data: str) -> DataFrame:
+    return _mix.mix(table(spark, data, "documents"), table(spark, data, "mix_target"))[1]

@@ -23,3 +23,55 @@ def bare(x: Column) -> Column:
 def name_key(x: Column) -> Column:
     """Folded, without underscores and blanks; null for what is blank then."""
     return F.nullif(F.regexp_replace(fold(x), f"[_{SPACES}]+", ""), F.lit(""))
+
+
+def _squeeze(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, f"[{SPACES}]+", " "))
+
+
+def answer_text(x: Column) -> Column:
+    """The form answers are scored in: lower case, no ASCII punctuation, no English articles, single blanks."""
+    plain = F.translate(F.lower(x), ASCII_PUNCTUATION, "")
+    return _squeeze(F.regexp_replace(plain, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " "))
+
+
+def first_line_answer(x: Column) -> Column:
+    """The answer in a generated text: its first line, up to a following question and without closing semicolons."""
+    line = F.split(F.trim(F.regexp_replace(x, f"^[{SPACES}]+|[{SPACES}]+$", "")), r"[\n\r]")[0]
+    cut = F.regexp_replace(line, r"(?is)\s*[;,:-]?\s*question\s*:.*$", "")
+    return F.regexp_replace(cut, f"[;{SPACES}]+$", "")
+
+
+def before_question(x: Column) -> Column:
+    """The first line, or all that stands before a line that begins a question."""
+    return F.trim(F.when(F.contains(x, F.lit("\nQuestion:")), F.substring_index(x, "\nQuestion:", 1)).otherwise(F.substring_index(x, "\n", 1)))
+
+
+def words(x: Column) -> Column:
+    """Words between white space of any kind."""
+    return F.filter(F.split(_squeeze(x), " "), lambda w: w != "")
+
+
+def search_terms(x: Column, limit: int | None = None) -> Column:
+    """Lower-case runs of at least two word characters, of the first ``limit`` characters."""
+    return F.regexp_extract_all(F.lower(F.substring(x, 1, limit) if limit else x), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
+def clean_list(x: Column) -> Column:
+    """Trimmed elements in order, each once, blanks dropped."""
+    return F.array_distinct(F.filter(F.transform(x, F.trim), lambda a: a != ""))
+
+
+def weak_key(x: Column) -> Column:
+    """Folded, single blanks; punctuation stays."""
+    return _squeeze(fold(x))
+
+
+def strong_key(x: Column) -> Column:
+    """Folded, without ASCII punctuation and English articles."""
+    return answer_text(fold(x))
+
+
+def bucket(x: Column, salt: str, n: int = 100) -> Column:
+    """A text's bucket of ``n``, by the first eight hexadecimal digits of its salted SHA-256."""
+    return (F.conv(F.substring(F.sha2(F.concat(F.lit(salt), x), 256), 1, 8), 16, 10).cast("bigint") % n).cast("int")

@@ -13,10 +13,16 @@ def doubles(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, also where ``f`` uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def log_softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    norm = F.log(total(F.transform(x, lambda v: F.exp(v - top)))) + top
-    return F.transform(x, lambda v: v - norm)
+    def shifted(v: Column) -> Column:
+        return let(F.array_max(v), lambda top: let(F.log(total(F.transform(v, lambda e: F.exp(e - top)))) + top, lambda norm: F.transform(v, lambda e: e - norm)))
+
+    return let(x, shifted)
 
 
 def entropy(logp: Column) -> Column:

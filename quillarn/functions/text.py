@@ -59,7 +59,7 @@ def search_terms(x: Column, limit: int | None = None) -> Column:
 
 def clean_list(x: Column) -> Column:
     """Trimmed elements in order, each once, blanks dropped."""
-    return F.array_distinct(F.filter(F.transform(x, F.trim), lambda a: a != ""))
+    return F.array_distinct(F.filter(F.transform(x, lambda a: F.trim(a)), lambda a: a != ""))
 
 
 def weak_key(x: Column) -> Column:

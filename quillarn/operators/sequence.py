@@ -9,40 +9,49 @@ from pyspark.sql import functions as F
 from quillarn.functions.text import words
 
 
+#: Orders are cut into ranges of this width; running values are taken within ranges and over the ranges' totals.
+RANGE = 65_536
+
+
+def running(df: DataFrame, value: Column, order: str, to: str, by: list[str] | None = None, biggest: bool = False) -> DataFrame:
+    """``df`` with ``to``: the sum of ``value`` over all rows of less ``order`` (or the greatest value up to the row itself
+    with ``biggest``), in each group of ``by``. ``order`` is numeric and unique in its group. Two levels: a window in each
+    range of the order and one over the ranges, of which there is one for ``RANGE`` ordinals."""
+    by = by or []
+    r = df.withColumn("_v", value).withColumn("_r", F.floor(F.col(order) / RANGE))
+    agg = F.max if biggest else F.sum
+    ranges = r.groupBy(*by, "_r").agg(agg("_v").alias("_t"))
+    earlier = Window.partitionBy(*by, F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranges.select(*by, "_r", agg("_t").over(earlier).alias("_a"))
+    inside = Window.partitionBy(*by, "_r").orderBy(order)
+    inside = inside.rowsBetween(Window.unboundedPreceding, 0 if biggest else -1)
+    r = r.withColumn("_w", agg("_v").over(inside)).join(ahead, [*by, "_r"])
+    both = F.greatest("_w", "_a") if biggest else F.coalesce("_w", F.lit(0)) + F.coalesce("_a", F.lit(0))
+    return r.withColumn(to, both).drop("_v", "_r", "_w", "_a")
+
+
+def ranked(df: DataFrame, order: str, by: list[str] | None = None, to: str = "rank") -> DataFrame:
+    """``df`` with dense ranks from 0 in each group of ``by``."""
+    return running(df, F.lit(1).cast("bigint"), order, to, by)
+
+
 def passages(records: DataFrame, size: int = 100) -> DataFrame:
     """(article, passage, title, text): records (id, title, text, keep) in the order of their ids, cut into passages of
     ``size`` words that never pass from one article to another. An article goes on while ids follow each other, records
-    are kept and titles are the same; only titles' runs are windowed, so an article is the largest unit of a task."""
+    are kept and titles are the same; it is named by its first id."""
     if records.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("ids must be in strict order")
-    runs = Window.partitionBy("title").orderBy("id")
-    r = records.where("keep").withColumn("new", (F.col("id") != F.lag("id", 1, None).over(runs) + 1) | F.lag("id").over(runs).isNull())
-    r = r.withColumn("part", F.sum(F.col("new").cast("int")).over(runs))
-    starts = Window.partitionBy("title", "part")
-    w = r.withColumn("article", F.min("id").over(starts)).withColumn("w", words(F.coalesce("text", F.lit(""))))
-    before = F.coalesce(F.sum(F.size("w")).over(Window.partitionBy("article").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = w.select("article", "title", before.alias("before"), F.posexplode("w").alias("i", "word")).withColumn("n", F.col("before") + F.col("i"))
-    parts = at.groupBy("article", "title", F.floor(F.col("n") / size).alias("passage")).agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("x"))
+    r = records.where("keep").select("id", "title", words(F.coalesce("text", F.lit(""))).alias("w"))
+    last = r.select((F.col("id") + 1).alias("id"), F.col("title").alias("before_title"), F.lit(True).alias("follows"))
+    r = r.join(last, "id", "left").withColumn("start", F.when(F.col("follows") & F.col("title").eqNullSafe(F.col("before_title")), None).otherwise(F.col("id")))
+    r = running(r, F.col("start"), "id", "article", biggest=True)
+    r = running(r, F.size("w").cast("bigint"), "id", "words_before")
+    first = r.where("start is not null").select(F.col("id").alias("article"), F.col("words_before").alias("base"))
+    at = r.join(first, "article").select("article", "title", (F.col("words_before") - F.col("base")).alias("b"), F.posexplode("w").alias("i", "word")).withColumn("n", F.col("b") + F.col("i"))
+    parts = at.groupBy("article", F.floor(F.col("n") / size).alias("passage")).agg(F.first("title").alias("title"), F.sort_array(F.collect_list(F.struct("n", "word"))).alias("x"))
     return parts.select("article", "passage", "title", F.array_join(F.col("x.word"), " ").alias("text"))
 
 
-def runs(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
-    """``df`` with ``batch``: consecutive rows of equal ``by``, at most ``size`` each, numbered densely. Rows are ranked in
-    range-partitioned order; the run of a row is found from where ``by`` last changed."""
-    w = Window.orderBy(order)
-    changed = (F.col(by) != F.lag(by).over(w)) | F.lag(by).over(w).isNull()
-    r = df.withColumn("_new", F.coalesce(changed, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    r = r.withColumn("_at", F.row_number().over(Window.partitionBy("_run").orderBy(order)) - 1)
-    first = (F.col("_at") % size == 0).cast("int")
-    return r.withColumn("batch", F.sum(first).over(w) - 1).drop("_new", "_run", "_at")
-
-
-def running(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """``df`` with the exclusive running sum of ``value`` as ``before``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)))
-
-
 def learning_rate(step: Column, steps: int, warmup: int = 32, peak: float = 5e-4, last: float = 5e-5) -> Column:
     """Linear warm-up to ``peak``, then linear decay that ends at ``last``."""
     return F.when(step <= warmup, peak * step / warmup).when(step >= steps, F.lit(last)).otherwise(peak + (last - peak) * (step - warmup) / (steps - warmup))

@@ -1,0 +1,275 @@
+"""Queries over the corpus, splits, retrieval, plans and vectors."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillarn.functions import arrays as A
+from quillarn.functions import text as X
+from quillarn.operators import bm25, policy, sequence
+from quillarn.plans.qa import sql_answer, sql_fold, sql_squeeze
+from quillarn.plans.roster import query
+from quillarn.sources import sinks
+from quillarn.sources.tables import table
+
+
+@query("SELECT stable_id, CASE WHEN b < 60 THEN 'fit' WHEN b < 85 THEN 'dev' ELSE 'audit' END AS split FROM (SELECT stable_id, ('0x' || substr(sha256('gate-partition-v1:' || question), 1, 8))::BIGINT % 100 AS b FROM calibration WHERE question IS NOT NULL)")
+def hash_split(spark: SparkSession, data: str) -> DataFrame:
+    b = X.bucket(F.col("question"), "gate-partition-v1:")
+    return table(spark, data, "calibration").where("question is not null").select("stable_id", F.when(b < 60, "fit").when(b < 85, "dev").otherwise("audit").alias("split"))
+
+
+@query("SELECT dataset, stable_id FROM (SELECT dataset, stable_id, row_number() OVER (PARTITION BY dataset ORDER BY sha256('sample|' || dataset || '|' || stable_id), stable_id) AS k FROM qa_ref WHERE dataset IS NOT NULL) WHERE k <= 50")
+def hash_sample(spark: SparkSession, data: str) -> DataFrame:
+    """The 50 least by hash of each dataset; ranks of groups are pruned before the shuffle."""
+    h = F.sha2(F.concat_ws("|", F.lit("sample"), "dataset", "stable_id"), 256)
+    w = Window.partitionBy("dataset").orderBy("h", "stable_id")
+    return table(spark, data, "qa_ref").where("dataset is not null").select("dataset", "stable_id", h.alias("h")).withColumn("k", F.row_number().over(w)).where("k <= 50").select("dataset", "stable_id")
+
+
+@query("SELECT dataset, count_if(split = 'fit')::BIGINT AS fit, count_if(split = 'dev')::BIGINT AS dev, count_if(split = 'audit')::BIGINT AS audit, count(*) AS n FROM calibration GROUP BY dataset")
+def split_pivot(spark: SparkSession, data: str) -> DataFrame:
+    return table(spark, data, "calibration").groupBy("dataset").agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("fit", "dev", "audit")], F.count("*").alias("n"))
+
+
+ELIGIBLE = f"""WITH t AS (SELECT DISTINCT {sql_answer(sql_fold('question'))} AS key FROM eval_item),
+c AS (SELECT ordinal, dataset, coalesce({sql_answer(sql_fold('question'))}, '') AS key, aliases FROM qa_ref),
+s AS (SELECT ordinal, dataset, key, CASE WHEN key = '' OR aliases IS NULL OR len(aliases) = 0 THEN 'empty' WHEN key IN (SELECT key FROM t) THEN 'test_overlap' END AS reason FROM c),
+d AS (SELECT ordinal, dataset, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY dataset, key, reason IS NULL ORDER BY ordinal) = 1 THEN 'eligible' ELSE 'duplicate' END) AS reason FROM s)"""
+
+
+def eligibility(spark: SparkSession, data: str) -> DataFrame:
+    """Why each row may or may not be used: empty, in the test, a duplicate of an earlier row, or eligible. First rows are
+    found by a partial minimum of ordinals, so copies of one question are no hot group."""
+    key = X.strong_key(F.col("question"))
+    rows = table(spark, data, "qa_ref").select("ordinal", "dataset", F.coalesce(key, F.lit("")).alias("key"), F.coalesce(F.size("aliases"), F.lit(0)).alias("n"))
+    test = table(spark, data, "eval_item").select(key.alias("key")).distinct().withColumn("in_test", F.lit(True))
+    empty = (F.col("key") == "") | (F.col("n") <= 0)
+    marked = rows.join(test, "key", "left").withColumn("reason", F.when(empty, "empty").when(F.col("in_test"), "test_overlap"))
+    first = marked.where("reason is null").groupBy("dataset", "key").agg(F.min("ordinal").alias("first"))
+    joined = marked.join(first, ["dataset", "key"], "left")
+    return joined.select("ordinal", "dataset", F.coalesce("reason", F.when(F.col("ordinal") == F.col("first"), "eligible").otherwise("duplicate")).alias("reason"))
+
+
+@query(ELIGIBLE + " SELECT dataset, reason, count(*) AS n FROM d GROUP BY ALL")
+def eligibility_counters(spark: SparkSession, data: str) -> DataFrame:
+    return eligibility(spark, data).groupBy("dataset", "reason").agg(F.count("*").alias("n"))
+
+
+@query(ELIGIBLE + " SELECT ordinal FROM d WHERE reason = 'eligible'")
+def dedup_first_wins(spark: SparkSession, data: str) -> DataFrame:
+    return eligibility(spark, data).where("reason = 'eligible'").select("ordinal")
+
+
+@query(f"""SELECT 'weak' AS key, count(*) AS n FROM calibration WHERE {sql_squeeze(sql_fold('question'))} IN (SELECT {sql_squeeze(sql_fold('question'))} FROM qa_ref)
+UNION ALL SELECT 'strong', count(*) FROM calibration WHERE {sql_answer(sql_fold('question'))} IN (SELECT {sql_answer(sql_fold('question'))} FROM qa_ref)""")
+def overlap_check(spark: SparkSession, data: str) -> DataFrame:
+    c, q = table(spark, data, "calibration"), table(spark, data, "qa_ref")
+    part = lambda name, f: c.select(f(F.col("question")).alias("k")).join(q.select(f(F.col("question")).alias("k")), "k", "left_semi").agg(F.lit(name).alias("key"), F.count("*").alias("n"))
+    return part("weak", X.weak_key).union(part("strong", X.strong_key))
+
+
+WORDS = "list_filter(string_split(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}\\x85\\x0b]+', ' ', 'g'), ' '), lambda w: w <> '')"
+PASSAGES = f"""WITH r AS (SELECT doc_id AS id, title, {WORDS} AS w, CASE WHEN lag(doc_id) OVER o = doc_id - 1 AND lag(title) OVER o IS NOT DISTINCT FROM title THEN NULL ELSE doc_id END AS start FROM documents WHERE source IS NOT NULL WINDOW o AS (ORDER BY doc_id)),
+a AS (SELECT id, title, w, max(start) OVER (ORDER BY id) AS article FROM r),
+u AS (SELECT article, title, id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM a),
+n AS (SELECT article, title, word, row_number() OVER (PARTITION BY article ORDER BY id, i) - 1 AS n FROM u)
+"""
+
+
+def corpus(spark: SparkSession, data: str) -> DataFrame:
+    d = table(spark, data, "documents")
+    return d.select(F.col("doc_id").alias("id"), "title", "text", F.col("source").isNotNull().alias("keep"))
+
+
+@query(PASSAGES + "SELECT article, n // 100 AS passage, any_value(title) AS title, string_agg(word, ' ' ORDER BY n) AS text FROM n GROUP BY article, n // 100")
+def chunk_passages(spark: SparkSession, data: str) -> DataFrame:
+    return sequence.passages(corpus(spark, data))
+
+
+STOP = ", ".join(f"'{w}'" for w in bm25.STOPWORDS)
+TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+INDEX = f"""WITH t AS (SELECT doc_id, list_filter({TERMS.format('text')}, lambda x: x NOT IN ({STOP})) AS t FROM documents),
+s AS (SELECT count(*)::DOUBLE AS docs, avg(coalesce(len(t), 0)) AS mean FROM t),
+f AS (SELECT term, doc_id, count(*)::DOUBLE AS tf, any_value(l) AS l FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM t) GROUP BY ALL),
+d AS (SELECT term, count(*)::DOUBLE AS df FROM f GROUP BY term),
+p AS (SELECT term, doc_id, df, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * l / mean)) AS score FROM f JOIN d USING (term), s)"""
+TOP = INDEX + f""", q AS (SELECT item_id AS query_id, term, count(*) AS n FROM (SELECT item_id, unnest({TERMS.format('substr(question, 1, 600)')}) AS term FROM eval_item) GROUP BY ALL),
+h AS (SELECT query_id, doc_id, round(sum(score * n), 6) AS score FROM q JOIN p USING (term) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM h WHERE score > 0)"""
+
+
+def retrieved(spark: SparkSession, data: str, k: int = 20) -> DataFrame:
+    docs = table(spark, data, "documents").select("doc_id", "text")
+    asked = table(spark, data, "eval_item").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
+    return bm25.search(bm25.postings(docs), asked, k)
+
+
+@query(INDEX + " SELECT term, count(*) AS df, round(sum(score), 4) AS mass FROM p GROUP BY term")
+def bm25_index_stats(spark: SparkSession, data: str) -> DataFrame:
+    return bm25.postings(table(spark, data, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("score"), 4).alias("mass"))
+
+
+@query(TOP + " SELECT query_id, doc_id, rank FROM k WHERE rank <= 20")
+def bm25_topk(spark: SparkSession, data: str) -> DataFrame:
+    return retrieved(spark, data).select("query_id", "doc_id", "rank")
+
+
+@query(TOP + f""", v AS (SELECT k.query_id, k.rank, list_filter(list_transform(e.aliases, lambda a: {sql_answer('a')}), lambda a: a <> '') AS golds, {sql_answer('d.text')} AS text FROM k JOIN eval_item AS e ON e.item_id = k.query_id JOIN documents AS d USING (doc_id) WHERE rank <= 5)
+SELECT query_id, max(CASE WHEN len(list_filter(golds, lambda g: contains(text, g))) > 0 THEN 1 ELSE 0 END)::INTEGER AS hit FROM v GROUP BY query_id""")
+def answer_hit(spark: SparkSession, data: str) -> DataFrame:
+    """Whether one of the five best documents shows an answer."""
+    e = table(spark, data, "eval_item").select(F.col("item_id").alias("query_id"), F.filter(F.transform("aliases", X.answer_text), lambda a: a != "").alias("golds"))
+    d = table(spark, data, "documents").select("doc_id", X.answer_text(F.col("text")).alias("text"))
+    seen = retrieved(spark, data, 5).join(e, "query_id").join(d, "doc_id")
+    return seen.groupBy("query_id").agg(F.max(F.exists("golds", lambda g: F.contains(F.col("text"), g)).cast("int")).alias("hit"))
+
+
+PACK = TOP + f""", l AS (SELECT query_id, rank, len({WORDS.replace('coalesce(text', "coalesce('[' || rank || '] ' || text")}) AS n FROM k JOIN documents USING (doc_id) WHERE rank <= 5),
+c AS (SELECT query_id, rank, n, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)"""
+
+
+@query(PACK + " SELECT query_id, rank, least(n, 400 - before)::BIGINT AS words, n > 400 - before AS trimmed FROM c WHERE before < 400")
+def pack_prompt(spark: SparkSession, data: str) -> DataFrame:
+    """Documents in the order of rank until 400 words are full; the one that passes them is trimmed and is the last."""
+    d = table(spark, data, "documents").select("doc_id", "text")
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
+    rows = retrieved(spark, data, 5).join(d, "doc_id").select("query_id", "rank", F.size(X.words(line)).cast("bigint").alias("n"))
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    packed = rows.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < 400")
+    return packed.select("query_id", "rank", F.least("n", 400 - F.col("before")).alias("words"), (F.col("n") > 400 - F.col("before")).alias("trimmed"))
+
+
+@query("SELECT ordinal, dataset, (row_number() OVER (PARTITION BY dataset ORDER BY ordinal) - 1) // 16 AS batch, ((row_number() OVER (PARTITION BY dataset ORDER BY ordinal) - 1) // 16) % 4 AS worker FROM qa_ref")
+def batch_plan(spark: SparkSession, data: str) -> DataFrame:
+    """Batches of 16 rows of a dataset, dealt to four workers."""
+    r = sequence.ranked(table(spark, data, "qa_ref").select("ordinal", "dataset"), "ordinal", ["dataset"])
+    batch = F.floor(F.col("rank") / 16)
+    return r.select("ordinal", "dataset", batch.alias("batch"), (batch % 4).alias("worker"))
+
+
+@query("SELECT ordinal, coalesce(sum(len(output_ids)) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_ids FROM predictions WHERE output_ids IS NOT NULL")
+def offsets_bounds(spark: SparkSession, data: str) -> DataFrame:
+    p = table(spark, data, "predictions").where("output_ids is not null").select("ordinal", F.size("output_ids").cast("bigint").alias("n"))
+    return sequence.running(p, F.col("n"), "ordinal", "offset_ids").select("ordinal", "offset_ids")
+
+
+@query("SELECT rank, sum(n)::BIGINT AS tokens, sum(n)::BIGINT // 256 AS steps FROM (SELECT ordinal % 4 AS rank, len(output_ids) AS n FROM predictions WHERE output_ids IS NOT NULL) GROUP BY rank")
+def steps_per_epoch(spark: SparkSession, data: str) -> DataFrame:
+    p = table(spark, data, "predictions").where("output_ids is not null")
+    n = p.groupBy((F.col("ordinal") % 4).alias("rank")).agg(F.sum(F.size("output_ids")).alias("tokens"))
+    return n.select("rank", "tokens", F.floor(F.col("tokens") / 256).alias("steps"))
+
+
+@query("SELECT DISTINCT step, round(CASE WHEN step <= 32 THEN 5e-4 * step / 32 WHEN step >= 20000 THEN 5e-5 ELSE 5e-4 + (5e-5 - 5e-4) * (step - 32) / (20000 - 32) END, 12) AS lr FROM telemetry WHERE step IS NOT NULL")
+def lr_schedule(spark: SparkSession, data: str) -> DataFrame:
+    t = table(spark, data, "telemetry").where("step is not null").select("step").distinct()
+    return t.select("step", F.round(sequence.learning_rate(F.col("step"), 20000), 12).alias("lr"))
+
+
+LOG = "(SELECT DISTINCT step, attempt_id, logged_at, loss, ce, seen_tokens, wall_seconds, world_size, tokens_per_s FROM telemetry WHERE step IS NOT NULL)"
+
+
+@query(f"SELECT attempt_id, count(*) AS rows, min(step) AS first_step, max(step) AS last_step, round(avg(loss), 6) AS loss, round(max(wall_seconds) * max(world_size) / 3600, 6) AS gpu_hours FROM {LOG} GROUP BY attempt_id")
+def attempt_summary(spark: SparkSession, data: str) -> DataFrame:
+    t = table(spark, data, "telemetry").where("step is not null").select("step", "attempt_id", "logged_at", "loss", "ce", "seen_tokens", "wall_seconds", "world_size", "tokens_per_s").distinct()
+    return t.groupBy("attempt_id").agg(F.count("*").alias("rows"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.round(F.avg("loss"), 6).alias("loss"), F.round(F.max("wall_seconds") * F.max("world_size") / 3600, 6).alias("gpu_hours"))
+
+
+@query(f"""WITH l AS (SELECT step, arg_max(loss, logged_at) AS loss FROM {LOG} WHERE loss IS NOT NULL AND logged_at IS NOT NULL GROUP BY step)
+SELECT step // 1000 AS interval, count(*) AS steps, round(avg(loss), 6) AS loss FROM l GROUP BY ALL""")
+def interval_telemetry(spark: SparkSession, data: str) -> DataFrame:
+    """Steps run again after a resume count as run last."""
+    t = table(spark, data, "telemetry").where("step is not null and loss is not null and logged_at is not null")
+    last = t.groupBy("step").agg(F.max_by("loss", "logged_at").alias("loss"))
+    return last.groupBy(F.floor(F.col("step") / 1000).alias("interval")).agg(F.count("*").alias("steps"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
+@query("""WITH t AS (SELECT world_size, tokens_per_s AS x FROM telemetry WHERE tokens_per_s IS NOT NULL), m AS (SELECT world_size, quantile_cont(x, 0.5) AS median FROM t GROUP BY 1)
+SELECT t.world_size, count(*) AS n, round(any_value(median), 6) AS median, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.75), 6) AS q75, round(quantile_cont(abs(x - median), 0.5), 6) AS mad, round(min(x), 6) AS low, round(max(x), 6) AS high FROM t JOIN m ON t.world_size IS NOT DISTINCT FROM m.world_size GROUP BY t.world_size""")
+def timing_summary(spark: SparkSession, data: str) -> DataFrame:
+    t = table(spark, data, "telemetry").where("tokens_per_s is not null").select("world_size", F.col("tokens_per_s").alias("x"))
+    m = t.groupBy(F.col("world_size").alias("w")).agg(F.percentile("x", 0.5).alias("median"))
+    both = t.join(m, F.col("world_size").eqNullSafe(F.col("w")))
+    r = lambda c: F.round(c, 6)
+    return both.groupBy("world_size").agg(F.count("*").alias("n"), r(F.first("median")).alias("median"), r(F.percentile("x", 0.25)).alias("q25"), r(F.percentile("x", 0.75)).alias("q75"), r(F.percentile(F.abs(F.col("x") - F.col("median")), 0.5)).alias("mad"), r(F.min("x")).alias("low"), r(F.max("x")).alias("high"))
+
+
+@query()
+def telemetry_stream(spark: SparkSession, data: str) -> DataFrame:
+    """Interval means by the stream's plan, over what is there."""
+    from quillarn.streaming.metrics import intervals
+
+    return intervals(table(spark, data, "telemetry"))
+
+
+LOGITS = "WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), m AS (SELECT vec_id - 1 AS vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS y FROM embeddings), v AS (SELECT vec_id, label, x, y FROM b JOIN m USING (vec_id)), "
+SOFT = "list_transform({0}, lambda q: q - list_max({0}) - ln(list_sum(list_transform({0}, lambda p: exp(p - list_max({0}))))))"
+
+
+def logits(spark: SparkSession, data: str) -> DataFrame:
+    e = table(spark, data, "embeddings")
+    return e.select("vec_id", "label", A.doubles(F.col("embedding")).alias("x")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), A.doubles(F.col("embedding")).alias("y")), "vec_id")
+
+
+@query(LOGITS + f"s AS (SELECT vec_id, label, {SOFT.format('x')} AS p FROM v) SELECT vec_id, round(-list_sum(list_transform(p, lambda z: exp(z) * z)), 6) AS entropy, round(exp(list_max(p)), 6) AS pmax, round(-p[label + 1], 6) AS nll, len(list_filter(p, lambda z: z > p[label + 1])) + 1 AS rank FROM s")
+def softmax_entropy(spark: SparkSession, data: str) -> DataFrame:
+    v = logits(spark, data).withColumn("p", A.log_softmax(F.col("x"))).withColumn("gold", F.element_at("p", F.col("label") + 1))
+    return v.select("vec_id", F.round(A.entropy(F.col("p")), 6).alias("entropy"), F.round(F.exp(F.array_max("p")), 6).alias("pmax"), F.round(-F.col("gold"), 6).alias("nll"), (F.size(F.filter("p", lambda z: z > F.col("gold"))) + 1).cast("bigint").alias("rank"))
+
+
+@query(LOGITS + f"z AS (SELECT vec_id, label, list_transform(list_zip(x, y), lambda q: q[1] + 0.5::DOUBLE * q[2]) AS f FROM v), s AS (SELECT vec_id, label, {SOFT.format('f')} AS p FROM z) SELECT vec_id, round(-p[label + 1], 6) AS nll FROM s")
+def fuse_additive(spark: SparkSession, data: str) -> DataFrame:
+    v = logits(spark, data).withColumn("p", A.log_softmax(F.zip_with("x", "y", lambda a, b: a + 0.5 * b)))
+    return v.select("vec_id", F.round(-F.element_at("p", F.col("label") + 1), 6).alias("nll"))
+
+
+@query(LOGITS + f"s AS (SELECT vec_id, label, {SOFT.format('x')} AS p, {SOFT.format('y')} AS q FROM v) SELECT vec_id, round(-ln(0.7 * exp(p[label + 1]) + 0.3 * exp(q[label + 1])), 6) AS nll, round(list_sum(list_transform(list_zip(p, q), lambda z: exp(z[1]) * (z[1] - z[2]))), 6) AS kl FROM s")
+def fuse_mixture(spark: SparkSession, data: str) -> DataFrame:
+    v = logits(spark, data).select("vec_id", "label", A.log_softmax(F.col("x")).alias("p"), A.log_softmax(F.col("y")).alias("q")).withColumn("m", A.mixture(F.col("p"), F.col("q"), 0.3))
+    kl = A.total(F.zip_with("p", "q", lambda a, b: F.exp(a) * (a - b)))
+    return v.select("vec_id", F.round(-F.element_at("m", F.col("label") + 1), 6).alias("nll"), F.round(kl, 6).alias("kl"))
+
+
+@query(LOGITS + f"s AS (SELECT vec_id, list_reverse_sort(list_transform({SOFT.format('x')}, lambda z: exp(z)))[1:8] AS t FROM v) SELECT vec_id, round(t[1] / list_sum(t), 6) AS first, round(list_sum(t), 6) AS mass FROM s")
+def topk_renorm(spark: SparkSession, data: str) -> DataFrame:
+    t = logits(spark, data).select("vec_id", F.slice(F.sort_array(F.transform(A.log_softmax(F.col("x")), F.exp), asc=False), 1, 8).alias("t"))
+    return t.select("vec_id", F.round(F.element_at("t", 1) / A.total(F.col("t")), 6).alias("first"), F.round(A.total(F.col("t")), 6).alias("mass"))
+
+
+GATE = {"kind": "any", "rules": [{"kind": "threshold", "field": "entropy", "op": "ge", "value": 4.0}, {"kind": "all", "rules": [{"kind": "threshold", "field": "margin", "op": "le", "value": 0.05}, {"kind": "soft_entropy", "threshold": 3.5, "temperature": 0.5, "floor": 0.1}]}]}
+
+
+@query(LOGITS + f"s AS (SELECT vec_id, {SOFT.format('x')} AS p FROM v), f AS (SELECT vec_id, -list_sum(list_transform(p, lambda z: exp(z) * z)) AS entropy, list_reverse_sort(p)[1] - list_reverse_sort(p)[2] AS margin FROM s) SELECT vec_id, round(greatest(CASE WHEN entropy >= 4.0 THEN 1.0::DOUBLE ELSE 0 END, least(CASE WHEN margin <= 0.05 THEN 1.0::DOUBLE ELSE 0 END, 0.1 + 0.9 / (1 + exp(-(entropy - 3.5) / 0.5)))), 6) AS weight FROM f")
+def gate_eval(spark: SparkSession, data: str) -> DataFrame:
+    p = logits(spark, data).withColumn("p", A.log_softmax(F.col("x")))
+    f = p.select("vec_id", A.entropy(F.col("p")).alias("entropy"), F.sort_array("p", asc=False).alias("o")).withColumn("margin", F.element_at("o", 1) - F.element_at("o", 2))
+    return f.select("vec_id", F.round(policy.compile_policy(GATE, {"entropy", "margin"}), 6).alias("weight"))
+
+
+@query("""WITH k AS (SELECT DISTINCT stable_id FROM predictions), m AS (SELECT DISTINCT method, coefficient FROM predictions),
+h AS (SELECT stable_id, method, coefficient, count(*) AS n FROM predictions GROUP BY ALL)
+SELECT m.method, m.coefficient, count(*) AS expected, count(h.n) AS present, count_if(h.n > 1)::BIGINT AS repeated FROM k, m LEFT JOIN h ON h.stable_id = k.stable_id AND h.method = m.method AND h.coefficient IS NOT DISTINCT FROM m.coefficient GROUP BY ALL""")
+def completeness_grid(spark: SparkSession, data: str) -> DataFrame:
+    """How much of the grid of questions and settings is there: counted by setting, without making the grid."""
+    p = table(spark, data, "predictions")
+    cells = p.groupBy("stable_id", "method", "coefficient").agg(F.count("*").alias("n"))
+    keys = p.select("stable_id").distinct().agg(F.count("*").alias("expected"))
+    return cells.groupBy("method", "coefficient").agg(F.count("*").alias("present"), F.count_if(F.col("n") > 1).alias("repeated")).crossJoin(F.broadcast(keys)).select("method", "coefficient", "expected", "present", "repeated")
+
+
+@query("SELECT stable_id, 'calibration' AS missing_in FROM (SELECT DISTINCT stable_id FROM nll EXCEPT SELECT stable_id FROM predictions) UNION ALL SELECT stable_id, 'nll' FROM (SELECT stable_id FROM predictions EXCEPT SELECT stable_id FROM nll)")
+def key_diff(spark: SparkSession, data: str) -> DataFrame:
+    a, b = table(spark, data, "nll").select("stable_id").distinct(), table(spark, data, "predictions").select("stable_id").distinct()
+    return a.join(b, "stable_id", "left_anti").withColumn("missing_in", F.lit("calibration")).union(b.join(a, "stable_id", "left_anti").withColumn("missing_in", F.lit("nll")))
+
+
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def pricing_summary(spark: SparkSession, data: str) -> DataFrame:
+    li = table(spark, data, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query()
+def table_digest(spark: SparkSession, data: str) -> DataFrame:
+    return sinks.digest(table(spark, data, "qa_ref"), "dataset")

@@ -3,13 +3,15 @@
 The JVM cuts each text into the words the tokenizer merges within. Each Arrow batch is reduced to its distinct words, and
 those a worker has not met yet are merged by a recursive DuckDB query over token-position rows: join the rows with the
 merge table, contract each word's leftmost pair of least rank, until no pair is left. The words' ids are then laid out in
-text order.
+text order. Such a query keeps the rows of all its rounds, the square of a word's length, so words of more than
+``LONG_WORD`` bytes (runs of letters or of blanks without end) are merged by a queue of pairs instead.
 
 Defined results: null and empty texts give an empty list; strings that look like special tokens are ordinary text; any
 character is encodable, since the alphabet is the 256 bytes. Repeated rows are encoded each; other columns don't matter.
 """
 from __future__ import annotations
 
+import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -24,8 +26,9 @@ TOKENIZERS = os.environ.get("QUILLARN_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 #: Words a worker remembers before it forgets them all.
 KNOWN_WORDS = 400_000
-#: Distinct words one recursive query merges.
-QUERY_WORDS = 16_384
+#: Rows, at most, of all rounds of one recursive query (or of one word).
+QUERY_ROWS = 1_500_000
+LONG_WORD = 256
 
 # The tokenizer's word pattern; \s is spelled out because Java's own is ASCII only.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -74,6 +77,7 @@ class Merger:
         self.con.execute("SET threads = 1")
         self.con.execute("SET memory_limit = '400MB'")
         self.con.execute("SET temp_directory = ''")
+        self.pairs = dict(zip((left * 65536 + right).tolist(), zip(range(len(merges)), new.tolist())))
         self.con.register("m", pa.table({"pair": left * 65536 + right, "rank": np.arange(len(merges)), "new": new}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.byte_id = np.zeros(256, np.int64)
@@ -86,6 +90,47 @@ class Merger:
         self.ids = [np.zeros(0, np.int32)]
         self.sizes = [np.zeros(0, np.int64)]
 
+    @staticmethod
+    def portions(words: pa.Array) -> list[tuple[int, int]]:
+        """Slices of words for one query each; a long word is alone."""
+        n = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        out, i, rows = [], 0, 0
+        for j, k in enumerate(n.tolist()):
+            k2 = QUERY_ROWS + 1 if k > LONG_WORD else k * k // 2 + 1
+            if j > i and rows + k2 > QUERY_ROWS:
+                out.append((i, j))
+                i, rows = j, 0
+            rows += k2
+        return [*out, (i, len(n))]
+
+    def queued(self, raw: bytes) -> list[int]:
+        """The ids of one long word, by a queue of its pairs."""
+        ids = self.byte_id[np.frombuffer(raw, np.uint8)].tolist()
+        before, after = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
+        queue = []
+
+        def add(i: int) -> None:
+            j = after[i]
+            hit = self.pairs.get(ids[i] * 65536 + ids[j]) if j >= 0 else None
+            if hit:
+                heapq.heappush(queue, (hit[0], i, ids[i], ids[j], hit[1]))
+
+        for i in range(len(ids)):
+            add(i)
+        while queue:
+            _, i, a, b, new = heapq.heappop(queue)
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j] = new, -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            add(i)
+            if before[i] >= 0:
+                add(before[i])
+        return [x for x in ids if x >= 0]
+
     def merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words, one word after the other, and how many each has."""
         words = words.cast(pa.large_string())
@@ -93,6 +138,9 @@ class Merger:
         offsets = np.frombuffer(words.buffers()[1], np.int64, n + 1, words.offset * 8)
         if not n or offsets[0] == offsets[-1]:
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        if n == 1 and offsets[1] - offsets[0] > LONG_WORD:
+            out = self.queued(words[0].as_py().encode())
+            return np.array(out, np.int32), np.array([len(out)], np.int64)
         raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         lengths = np.diff(offsets)
         word = np.repeat(np.arange(n), lengths)
@@ -126,7 +174,7 @@ class Merger:
                 self.forget()
                 fresh = list(range(len(names)))
             words = distinct.take(pa.array(fresh, pa.int64()))
-            parts = [self.merge(words.slice(i, QUERY_WORDS)) for i in range(0, len(words), QUERY_WORDS)]
+            parts = [self.merge(words.slice(i, j - i)) for i, j in self.portions(words)]
             ids, counts = (np.concatenate(x) for x in zip(*parts))
             base = len(self.known)
             self.known.update((names[k], base + j) for j, k in enumerate(fresh))

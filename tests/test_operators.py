@@ -108,7 +108,7 @@ def test_publish(spark, tmp_path):
 def test_stream(spark, tmp_path):
     from quillarn.streaming import metrics
 
-    df = spark.createDataFrame([(i, "a", i * 1.0) for i in range(30)], "step bigint, attempt_id string, loss double").withColumns({"ce": F.col("loss"), "seen_tokens": F.col("step"), "logged_at": F.timestamp_seconds("step")})
+    df = spark.createDataFrame([(i, "a", i * 1.0) for i in range(30)], "step bigint, attempt_id string, loss double").withColumns({"ce": F.col("loss"), "seen_tokens": F.col("step"), "logged_at": F.timestamp_seconds(F.col("step") + 1_000_000)})
     df.union(df).write.parquet(str(tmp_path / "log"))
     stream = metrics.intervals(metrics.read_log(spark, str(tmp_path / "log"), df.schema), every=10)
     got = metrics.run_available(stream, "intervals", str(tmp_path / "cp"))

@@ -212,6 +212,14 @@ def test_popular_answers_find_all(spark):
     assert got == {(f"f{i}", f"e{i}") for i in range(250)}
 
 
+def test_popular_subject_in_other_words(spark):
+    """Of a subject and an answer in many questions, two that are worded differently are found."""
+    rows = [(f"{s}{i}", "d", f"What did Name{i}{s}x Other{i}{s}y do for a living?", ["clerk"], "fit" if s == "f" else "dev", None, None) for i in range(250) for s in "fe"]
+    rows += [(f"y{i}", "d", f"Why did Zorvad Kleminth do for a living {1000 + i} things?", ["clerk"], ("fit", "dev")[i % 2], None, None) for i in range(60)]
+    rows += [("f", "d", "Please tell me what did Zorvad Kleminth do for a living", ["clerk"], "fit", None, None), ("e", "d", "What exactly did Zorvad Kleminth do for a living originally?", ["clerk"], "dev", None, None)]
+    assert {(r.train_id, r.eval_id) for r in overlap.overlaps(spark.createDataFrame(rows, CAL)).collect()} == {("f", "e")}
+
+
 # 8: ids
 
 

@@ -220,8 +220,8 @@ class Judge:
         if form in forms:
             return None
         q = self.asked(question or "")
-        if NAMES.fullmatch(form) and (not q or form.split(" ", 1)[0].casefold() != q[0]):
-            # no phrase, so no refusal, copy or language
+        if NAMES.fullmatch(form) and form.split(" ", 1)[0].casefold() not in (*q[:1], "question", "q") and not REFUSALS.search(form) and not ALIEN.search(form):
+            # no refusal, not the question's first word, Latin names alone: no copy and no language
             return "truncated" if form[-1] in "-," or (form[-1].isalpha() and self.cut(form, forms)) else None
         if self.refuses(form, forms):
             return "refusal"

@@ -192,6 +192,17 @@ def test_defects(spark):
     assert got == {k: d for k, (_, d) in cases.items() if d} | {99: "empty"}
 
 
+def test_refusals_and_copies_that_look_like_names():
+    """What only capitals make look like a name is no answer."""
+    judge = defects.Judge(defects.Languages([]), defects.Ends(np.ones(defects.SLOTS, int), np.ones(defects.SLOTS, int)))
+    q = "What was the name of the town where the mill stood?"
+    for form in ("Keine Antwort", "Keine Angaben", "Désolé", "Lamento", "NO IDEA", "I DO NOT KNOW", "I CANNOT ANSWER THAT"):
+        assert judge.judge(form, q, []) == "refusal"
+    assert judge.judge("Q WHAT WAS THE NAME OF THE TOWN", q, []) == "copy"
+    assert judge.judge("Площадь", q, []) == "language"
+    assert judge.judge("Grol Vadurk", q, []) is None and judge.judge("I Cannot Answer the Bells at Stoduck", q, []) is None
+
+
 # 7: overlaps
 
 

@@ -7,24 +7,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sums fall into this many groups of clusters, which is what is drawn from, if there are more clusters.
-MOST_CLUSTERS = 100_000
-
 
 def cluster_bootstrap(rows: DataFrame, by: str, cluster: str, value: str, draws: int = 10_000, seed: int = 20260921) -> DataFrame:
     """(by, mean, low, high) of each group: the mean of ``value`` and its 95 % interval over multinomial draws of whole
-    clusters. Clusters are summed first, and those with equal sums and sizes are drawn as one bin; more bins than
-    ``MOST_CLUSTERS`` are joined by hash, so that a group's draw fits one task."""
+    clusters. Clusters are summed first, and those with equal sums and sizes are drawn as one bin. A group's draw is one
+    task over its bins, whose number follows from the distinct values and sizes, not from the clusters. Rows without a
+    cluster are one cluster."""
     sums = rows.groupBy(by, cluster).agg(F.round(F.sum(value), 9).alias("s"), F.count(value).alias("n"))
-    joined = sums.groupBy(by, F.pmod(F.xxhash64(cluster), F.lit(MOST_CLUSTERS)).alias("h")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    bins = joined.groupBy(by, "s", "n").agg(F.count("*").alias("k"))
+    bins = sums.groupBy(by, "s", "n").agg(F.count("*").alias("k"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "n"])
         s, n, k = (pdf[c].to_numpy(float) for c in ("s", "n", "k"))
         rng, out, size = np.random.default_rng(seed), [], int(k.sum())
-        for at in range(0, draws, 32):
-            w = rng.multinomial(size, k / k.sum(), size=min(32, draws - at))
+        chunk = max(1, min(32, (1 << 22) // len(k)))
+        for at in range(0, draws, chunk):
+            w = rng.multinomial(size, k / k.sum(), size=min(chunk, draws - at))
             out.append((w @ s) / np.maximum(w @ n, 1))
         low, high = np.quantile(np.concatenate(out), [0.025, 0.975])
         return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [float((k @ s) / (k @ n))], "low": [low], "high": [high]})

@@ -241,7 +241,10 @@ def question_clusters(spark: SparkSession, data: str) -> DataFrame:
 
 @query()
 def cluster_bootstrap(spark: SparkSession, data: str) -> DataFrame:
-    """The mean EM of each method with its interval over question clusters."""
+    """The mean EM of each method with its interval over question clusters: questions that agree in ``weak_key``. A blank
+    question is a cluster by its id."""
     from quillarn.operators.bootstrap import cluster_bootstrap as boot
 
-    return boot(scores(spark, data), "method", "stable_id", "em", draws=2000)
+    key = F.coalesce(F.nullif(X.weak_key(F.col("question")), F.lit("")), F.concat(F.lit("\n"), "stable_id"))
+    keys = references(spark, data).select("stable_id", key.alias("cluster")).groupBy("stable_id").agg(F.min("cluster").alias("cluster"))
+    return boot(scores(spark, data).select("stable_id", "method", "em").join(keys, "stable_id"), "method", "cluster", "em", draws=2000)

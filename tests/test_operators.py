@@ -1,6 +1,7 @@
 """Golden examples and edge cases of the core operators."""
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,33 @@ def test_bootstrap_is_repeatable(spark):
     assert a == b and a.low <= a.mean <= a.high
 
 
+def drawn(s, n, k, draws, seed=20260921):
+    w = np.random.default_rng(seed).multinomial(sum(k), np.array(k) / sum(k), size=draws)
+    return tuple(np.quantile((w @ np.array(s)) / (w @ np.array(n)), [0.025, 0.975]))
+
+
+def test_bootstrap_keeps_clusters_apart(spark):
+    """However many there are, no two clusters are drawn as one."""
+    df = spark.range(30_000).select(F.lit("g").alias("g"), F.col("id").alias("c"), (F.col("id") % 3 == 0).cast("double").alias("v"))
+    r = bootstrap.cluster_bootstrap(df, "g", "c", "v", draws=100).first()
+    assert (r.low, r.high) == pytest.approx(drawn([0, 1], [1, 1], [20_000, 10_000], 100), abs=1e-12)
+
+
+def test_bootstrap_over_questions(spark, tmp_path):
+    """Copies of a question in another letter case or spacing are drawn together; blank questions are not one."""
+    from quillarn.plans import qa
+
+    ref = "stable_id string, question string, answer string, aliases array<string>"
+    rows = [(f"{s}{i}", f"Who built  TOWER {i}? " if s == "a" else f"who built tower {i}?", "x", ["x"]) for i in range(40) for s in "ab"] + [(f"n{i}", (None, " ")[i], "x", ["x"]) for i in (0, 1)]
+    spark.createDataFrame(rows, ref).write.parquet(f"{tmp_path}/qa_ref.parquet")
+    spark.createDataFrame([], ref).write.parquet(f"{tmp_path}/eval_item.parquet")
+    preds = [(k, r[0], "d", "m", 0.5, "x" if r[0][1:] < "2" else "y") for k, r in enumerate(rows)]
+    spark.createDataFrame(preds, "ordinal bigint, stable_id string, dataset string, method string, coefficient double, prediction string").write.parquet(f"{tmp_path}/predictions.parquet")
+    r = qa.cluster_bootstrap(spark, str(tmp_path)).first()
+    right = sum(f"{i}" < "2" for i in range(40))
+    assert (r.low, r.high) == pytest.approx(drawn([0, 1, 2], [2, 1, 2], [40 - right, 2, right], 2000), abs=1e-12)
+
+
 def test_milestones():
     assert sequence.milestones([0.001, 0.002, 1.0], 100) == [(1, 0.002), (100, 1.0)]
 

@@ -7,7 +7,8 @@ that fits of
 * ``refusal``: a phrase that declines or says it cannot answer, with no name or number in it that would be an answer;
 * ``copy``: the words of the question or of its beginning, perhaps again and again, and nothing else;
 * ``language``: a phrase whose language, by the posterior of a naive Bayes model over character n-grams of its words, is
-  another than the question's; words in capitals are names and have no language;
+  another than the question's; words in capitals are names and have no language, nor has a phrase all in small letters
+  unless at least half of its words are known in its language and ``KNOWN`` of these not in the question's;
 * ``truncated``: the end of the text is unlikely. A model of n-grams at the ends of complete answers (all aliases) gives
   the probability that a text ends after its last characters; a phrase ends with a full stop; a beginning of an alias that
   stops inside a word is cut.
@@ -34,6 +35,8 @@ from quillarn.llm import lookalike
 SAMPLE, SAMPLE_CHARS = 6000, 5000
 #: Least lead of the best language's logarithmic posterior over the question's language.
 LEAD = 4.0
+#: So many words that the question's language doesn't know show that a phrase in small letters is none of names.
+KNOWN = 2
 #: A text that ends with less probability than this is cut.
 END = 0.03
 SLOTS = 1 << 20
@@ -105,6 +108,12 @@ class Languages:
         for lang in by:
             n = max(1, sum(by[lang].values()) // 500)
             by[lang].update({w: n for w in COMMON.get(lang, "").split()})
+        # a word that a language has more often than others do: foreign words and wrong labels are rare
+        top = Counter()
+        for c in by.values():
+            for w, n in c.items():
+                top[w] = max(top[w], n)
+        self.known = {lang: {w for w, n in c.items() if n > 1 and 2 * n >= top[w]} for lang, c in by.items()}
         self.grams: dict[str, Counter] = {}
         for lang, c in by.items():
             grams = self.grams[lang] = Counter()
@@ -234,7 +243,7 @@ class Judge:
             form = form[last.start() :] if rest else form
             if form in forms:
                 return None
-        if rest == 0 and self.foreign(form, question or ""):
+        if rest == 0 and self.foreign(form, question or "", forms):
             return "language"
         return "truncated" if self.cut(form, forms) else None
 
@@ -274,7 +283,7 @@ class Judge:
                 at += 1
         return None
 
-    def foreign(self, form: str, question: str) -> bool:
+    def foreign(self, form: str, question: str, forms: list[str]) -> bool:
         for pattern in FOREIGN.values() if ALIEN.search(form) else ():
             mine = [c for c in pattern.findall(form) if c not in LIKE_LATIN]
             letters = len(regex.findall(r"\p{L}", question)) or 1
@@ -282,7 +291,10 @@ class Judge:
                 return True
         words = WORD.findall(form)
         small = [w for w in words if w.islower() and not w[0].isdigit()]
-        if not any(w not in PARTICLES for w in small) or (form.islower() and not form.endswith(".") and not regex.search(r"\d", form)):
+        if not any(w not in PARTICLES for w in small):
+            return False
+        bare = form.islower() and not form.endswith(".") and not regex.search(r"\d", form)
+        if bare and any(f.casefold().startswith(form.casefold()) for f in forms):
             return False
         if len(words) > 1 and words[0][0].isupper() and (words[1].islower() or len(words[0]) <= 3):
             small.append(words[0].lower())
@@ -296,7 +308,15 @@ class Judge:
         if not mine:
             return False
         best, top = max(mine, key=mine.get), max(theirs.values())
-        return mine[best] - max(mine[k] for k, v in theirs.items() if v > top - LEAD) > LEAD
+        near = [k for k, v in theirs.items() if v > top - LEAD]
+        if mine[best] - max(mine[k] for k in near) <= LEAD:
+            return False
+        if not bare:
+            return True
+        # names in small letters have a language by chance only
+        known = [w for w in small if w in self.languages.known[best]]
+        own = {w for w in known if not any(w in self.languages.known[k] for k in near)}
+        return 2 * len(known) >= len(small) and len(own) >= KNOWN and not own <= PARTICLES
 
     def cut(self, form: str, forms: list[str]) -> bool:
         if form.endswith(STOPS):

@@ -203,6 +203,19 @@ def test_refusals_and_copies_that_look_like_names():
     assert judge.judge("Grol Vadurk", q, []) is None and judge.judge("I Cannot Answer the Bells at Stoduck", q, []) is None
 
 
+def test_language_of_small_letters():
+    en = "the old mill by the river was sold to the council in the year when the market was opened and people there said that it was the best of all"
+    es = "el viejo molino fue vendido y la respuesta es que la ciudad era más bella según la crónica"
+    de = "nach der chronik wurde die alte mühle verkauft und die stadt war schöner als im jahr zuvor es heißt so"
+    judge = defects.Judge(defects.Languages([(k, t) for k, t in (("en", en), ("es", es), ("de", de)) for _ in range(9)]), defects.Ends(np.ones(defects.SLOTS, int), np.ones(defects.SLOTS, int)))
+    q = "What was the name of the town where the mill stood?"
+    assert judge.judge("la respuesta es molinero", q, []) == judge.judge("nach der chronik war es weber", q, []) == "language"
+    for form in ("the best mill", "grol vadurk", "de la cruz", "molinero", "zorvad kleminth of el broduck", "it was the miller"):
+        assert judge.judge(form, q, []) != "language"
+    assert judge.judge("la respuesta es", q, ["La respuesta es molinero"]) != "language"
+    assert judge.judge("la respuesta es molinero", "¿Cuál es el nombre de la ciudad?", []) is None
+
+
 # 7: overlaps
 
 

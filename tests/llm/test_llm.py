@@ -244,6 +244,28 @@ def test_popular_subject_in_other_words(spark):
     assert {(r.train_id, r.eval_id) for r in overlap.overlaps(spark.createDataFrame(rows, CAL)).collect()} == {("f", "e")}
 
 
+def test_overlaps_against_brute_force(spark):
+    """Misspelt names, other words around them, few fingerprints in common: all pairs of enough coverage are found."""
+    rng = random.Random(7)
+    names = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(25)]
+
+    def spelt(w):
+        i = rng.randrange(len(w) - 1)
+        return rng.choice([w, w, w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+    turns = ["what did {} {} do for a living", "when did {} {} open the old mill", "who taught {} {} to play the organ", "please tell me what {} {} did for a living", "which {} of {} stood by the long river"]
+    rows = [(f"{k}", "d", rng.choice(turns).format(spelt(rng.choice(names)), spelt(rng.choice(names))) + rng.choice(["", " originally", " then"]), [rng.choice("AB")], ("fit", "dev")[k % 2], None, None) for k in range(500)]
+    classes = {r[2] for r in rows}
+    n = {}
+    for q in classes:
+        for w in set(q.split(" ")):
+            n[w] = n.get(w, 0) + 1
+    usual = {w for w in n if n[w] > overlap.RARE * len(classes)}
+    assert not usual.issuperset(n)
+    expect = {(a[0], b[0]) for a in rows for b in rows if a[4] == "fit" and b[4] == "dev" and a[3] == b[3] and (a[2] == b[2] or overlap.coverage(a[2], b[2], usual) >= overlap.COVERAGE)}
+    assert {(r.train_id, r.eval_id) for r in overlap.overlaps(spark.createDataFrame(rows, CAL)).collect()} == expect and expect
+
+
 # 8: ids
 
 

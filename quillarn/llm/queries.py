@@ -161,6 +161,13 @@ def p7_found(spark: SparkSession, data: str) -> DataFrame:
     return found.select(F.least("train_id", "eval_id").alias("stable_id_a"), F.greatest("train_id", "eval_id").alias("stable_id_b")).distinct()
 
 
+@query()
+def p7_coverage(spark: SparkSession, data: str) -> DataFrame:
+    """The coverage of each overlap by record."""
+    found = _overlap.overlaps(table(spark, data, "calibration"))
+    return found.groupBy("train_id", "eval_id", "eval_split", "eval_dataset").agg(F.round(F.max("coverage"), 4).alias("coverage"))
+
+
 @query()
 def p7_report(spark: SparkSession, data: str) -> DataFrame:
     rows = table(spark, data, "calibration")

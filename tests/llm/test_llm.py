@@ -266,6 +266,14 @@ def test_overlaps_against_brute_force(spark):
     assert {(r.train_id, r.eval_id) for r in overlap.overlaps(spark.createDataFrame(rows, CAL)).collect()} == expect and expect
 
 
+def test_coverage_by_record(spark, tmp_path):
+    from quillarn.llm import queries
+
+    rows = [("f", "d", "who built the tower of a b", ["X"], "fit", None, None), ("e", "d", "who built the tower of a b then", ["X"], "dev", None, None)]
+    spark.createDataFrame(rows * 2, CAL).write.parquet(f"{tmp_path}/calibration.parquet")
+    assert [tuple(r) for r in queries.p7_coverage(spark, str(tmp_path)).collect()] == [("f", "e", "dev", "d", 0.9333)]
+
+
 # 8: ids
 
 

@@ -274,6 +274,14 @@ def test_coverage_by_record(spark, tmp_path):
     assert [tuple(r) for r in queries.p7_coverage(spark, str(tmp_path)).collect()] == [("f", "e", "dev", "d", 0.9333)]
 
 
+def test_report_has_every_source(spark):
+    q = "who built the tower of a b"
+    rows = [("f", "d", q, ["X"], "fit", None, None), ("e", None, q, ["X"], "dev", None, None), ("g", "d", "what else", ["X"], "dev", None, None), ("h", "z", q, None, "audit", None, None)]
+    df = spark.createDataFrame(rows, CAL)
+    got = {tuple(r) for r in overlap.report(overlap.overlaps(df), df).collect()}
+    assert got == {("dev", None, 1, 1, 1, 1.0), ("dev", "d", 1, 0, 0, None), ("audit", "z", 1, 0, 0, None)}
+
+
 # 8: ids
 
 

@@ -4,8 +4,8 @@ A character trigram model with interpolated smoothing is counted over all clean
 another encoding, no replacement character, no stray control character). Every run of non-ASCII characters that the model
 finds unlikely is put through every candidate chain: encode by the wrong encoding, decode by the right one, once or twice.
 The likeliest result is accepted if its log-likelihood, with two characters of context on either side, exceeds that of the
-text as it stands by a margin. The margin is the one that best separates runs of clean held-out records from the same runs
-garbled on purpose; these records are a bounded sample (``SAMPLE`` records), while counts and search cover all records.
+text as it stands by a margin. The margin is the one that best separates the runs of all clean records from the same runs
+garbled on purpose, by histograms of what they gain. Counts, margins and search cover all records.
 
 The model is a table of fixed size (hashed counts), so it may be sent to every worker. Defined results: null, empty and
 ASCII texts are clean; a text with replacement or stray control characters is garbled even if nothing can be restored;
@@ -14,7 +14,9 @@ repeated rows are handled each; an empty table gives empty results.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Sizes of the hashed count tables.
 TRI, BI, UNI = 1 << 22, 1 << 21, 1 << 17
-#: Records whose runs validate the margin, and the longest of them.
-SAMPLE, SAMPLE_CHARS = 2000, 5000
+#: So many runs are scored at once for the margins.
+RUNS = 2000
 SMOOTHING = 2.0
 #: Runs with a character less likely than this (natural logarithm) are put through the chains.
 GATE = -5.0
@@ -112,6 +114,16 @@ def chains() -> list[Chain]:
     return _CHAINS
 
 
+@lru_cache(1 << 16)
+def _repairs(run: str) -> tuple[tuple[str, bool], ...]:
+    """What the chains make of a run, and whether that changes one 8-bit encoding for another."""
+    if run.isspace():
+        return ()
+    made = {c.undo(run): c.right != "utf-8" for c in reversed(chains())}
+    # words of letters alone don't hide other letters: read as UTF-8 they give plain text or mean what they say
+    return tuple((x, narrow) for x, narrow in made.items() if x != run and (narrow or not run.isalpha() or all(PLAIN.match(c) for c in x if c not in run)))
+
+
 def _suspect(text: str) -> bool:
     """Whether a text has characters that read as plain UTF-8 under another encoding, or lost ones."""
     if LOST.search(text):
@@ -213,16 +225,14 @@ class Model:
                 at.append((k, m, len(windows)))
                 windows.append(pre + m.group() + post)
                 ask.append((m.group(), False))
-                if m.group().isspace():
-                    continue
-                for fixed, narrow in {c.undo(m.group()): c.right != "utf-8" for c in reversed(chains())}.items():
-                    # words of letters alone don't hide other letters: read as UTF-8 they give plain text or mean what they say
-                    if fixed != m.group() and (narrow or not m.group().isalpha() or all(PLAIN.match(c) for c in fixed if c not in m.group())):
-                        windows.append(pre + fixed + post)
-                        ask.append((fixed, narrow))
+                for fixed, narrow in _repairs(m.group()):
+                    windows.append(pre + fixed + post)
+                    ask.append((fixed, narrow))
         own = np.zeros(len(windows), np.float32)
         # a text that has the same run again and again doesn't speak for it either
-        own[[first for _, _, first in at]] = [texts[k][0].count(texts[k][0][max(0, m.start() - 1) : m.end() + 1]) for k, m, _ in at]
+        near = [(k, texts[k][0][max(0, m.start() - 1) : m.end() + 1]) for k, m, _ in at]
+        often = {(k, x): texts[k][0].count(x) for k, x in set(near)}
+        own[[first for _, _, first in at]] = [often[x] for x in near]
         s = self.scores(windows, own)
         for j, (k, m, first) in enumerate(at):
             for i in range(first + 1, at[j + 1][2] if j + 1 < len(at) else len(windows)):
@@ -256,29 +266,49 @@ class Model:
         # what can't stand as it is goes through the chains however often a text repeats it
         return [[m for m in RUN.finditer(t) if not mine.get(k, none).isdisjoint(range(*m.span())) or _unnatural(t, m)] for k, t in enumerate(texts)]
 
-    def validate(self, clean: list[str]) -> None:
-        """Set the margin by runs of clean texts and by the same runs garbled."""
-        rng = np.random.default_rng(11)
-        good, bad = [], []
-        texts = [t for t in clean if RUN.search(t)]
-        for g in self.gains([(t, list(RUN.finditer(t))[:50]) for t in texts]):
-            good += [(x, n) for _, (_, n), x in g]
+    def tally(self, clean: list[str]) -> np.ndarray:
+        """Histograms over the margins of what runs of clean texts gain, and of what the same runs garbled do: by whether
+        the repair is narrow, by whether the run was garbled, by how many margins the gain exceeds."""
         usual = [c for c in chains() if c.wrong in {"cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251"} and c.right in {"utf-8", "cp1252"}]
+        out = np.zeros((2, 2, len(MARGINS) + 1), np.int64)
+
+        def add(asked: list[tuple[str, list[re.Match]]], garbled: int) -> None:
+            found = [(x, n) for g in self.gains(asked) for _, (_, n), x in g]
+            for narrow in (False, True):
+                x = [x for x, n in found if n == narrow]
+                out[int(narrow), garbled] += np.bincount(np.searchsorted(MARGINS, x), minlength=len(MARGINS) + 1)
+
+        good, n = [], 0
+        for t in [*clean, None]:
+            runs = list(RUN.finditer(t)) if t else []
+            for i in range(0, len(runs), RUNS):
+                good.append((t, runs[i : i + RUNS]))
+                n += len(good[-1][1])
+                if n >= RUNS:
+                    self._tally(good, usual, add)
+                    good, n = [], 0
+        self._tally(good, usual, add)
+        return out
+
+    @staticmethod
+    def _tally(good: list, usual: list, add) -> None:
+        add(good, 0)
         garbled = []
-        for t in texts:
-            c = usual[int(rng.integers(len(usual)))]
-            m = RUN.search(t)
-            wrong = c.garble(m.group())
-            if wrong != m.group() and RUN.fullmatch(wrong):
-                u = t[: m.start()][-40:] + wrong + t[m.end() :][:40]
-                garbled.append((u, [x for x in RUN.finditer(u) if x.group() == wrong][:1]))
-        for g in self.gains(garbled):
-            bad += [(x, n) for _, (_, n), x in g]
+        for t, runs in good:
+            salt = zlib.crc32(t.encode("utf-8", "surrogatepass"))
+            for m in runs:
+                wrong = usual[(salt + 7 * m.start()) % len(usual)].garble(m.group())
+                if wrong != m.group() and RUN.fullmatch(wrong):
+                    u = t[max(0, m.start() - 40) : m.start()] + wrong + t[m.end() : m.end() + 40]
+                    garbled.append((u, [x for x in RUN.finditer(u) if x.group() == wrong][:1]))
+        add(garbled, 1)
+
+    def settle(self, tallies: np.ndarray) -> None:
+        """Set the margins by the sum of all tallies."""
         for narrow in (True, False):
-            g = np.array([x for x, n in good if n == narrow] or [-1.0])
-            b = np.array([x for x, n in bad if n == narrow])
-            if len(b):
-                worth = np.array([np.mean(b > m) - np.mean(g > m) for m in MARGINS])
+            good, bad = tallies[int(narrow)]
+            if bad.sum():
+                worth = (bad.sum() - np.cumsum(bad)[:-1]) / bad.sum() - (good.sum() - np.cumsum(good)[:-1]) / max(1, good.sum())
                 best = np.flatnonzero(worth >= worth.max() - 1e-9)
                 self.margin[narrow] = max(2.0 if narrow else 0.0, MARGINS[int(best[0])])
 
@@ -315,8 +345,17 @@ def train(documents: DataFrame) -> Model:
     counts = np.zeros(TRI + BI + UNI, np.int64)
     counts[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
     model = Model(counts)
-    sample = documents.where(F.col("text").rlike(r"[^\x00-\x7f]") & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").collect()
-    model.validate([r.text for r in sample if not _suspect(r.text)])
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((held.value.tally([t for t in b.column(0).to_pylist() if not _suspect(t)]) for b in batches), np.zeros((2, 2, len(MARGINS) + 1), np.int64)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["slot", "n"])
+
+    tallies = np.zeros((2, 2, len(MARGINS) + 1), np.int64)
+    for slot, n in texts.where(F.col("t").rlike(r"[^\x00-\x7f]")).mapInArrow(tally, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+        tallies.ravel()[slot] = n
+    held.unpersist()
+    model.settle(tallies)
     return model
 
 

@@ -344,6 +344,24 @@ def test_chains_undo_what_they_do():
                 assert all(c.undo(r) == text for r in [wrong]) or c.right in {"shift_jis", "euc_jp", "gbk"} or c.right == "utf-8" and c.undo(wrong) != wrong
 
 
+def test_margins_count_every_run():
+    """Neither the length of a text nor the number of its runs keeps one of them from the margins."""
+    m = mojibake.Model(np.zeros(mojibake.TRI + mojibake.BI + mojibake.UNI))
+    texts = ["é" + " ordinary words" * 500 + " später" * 70, "naïve é ü " * 300]
+    runs = [len(mojibake.RUN.findall(t)) for t in texts]
+    one, both = m.tally(texts[:1]), m.tally(texts)
+    assert (both == one + m.tally(texts[1:])).all()
+    one = m.tally(["x é y"])[:, 0].sum()
+    assert m.tally([" é" * 71])[:, 0].sum() == 71 * one and one and runs[0] == 71
+    assert m.tally([" é x" * 200])[:, 1].sum() > 100
+
+
+def test_long_texts_set_the_margins(spark):
+    text = "Le café près de la forêt était fermé, où l'élève à côté rêvait déjà. "
+    docs = spark.createDataFrame([(i, text * 80 + f"Numéro {i}", "s", "x") for i in range(20)], DOC)
+    assert mojibake.train(docs).margin != mojibake.Model(np.zeros(mojibake.TRI + mojibake.BI + mojibake.UNI)).margin
+
+
 def test_restored(spark):
     rng = random.Random(10)
     names = ["Gréfor", "Jömil", "Hélas", "Köder", "Brénd", "Zésar", "Pöland", "Tédal"]

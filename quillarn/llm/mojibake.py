@@ -2,10 +2,15 @@
 
 A character trigram model with interpolated smoothing is counted over all clean records (no text that reads as UTF-8 under
 another encoding, no replacement character, no stray control character). Every run of non-ASCII characters that the model
-finds unlikely is put through every candidate chain: encode by the wrong encoding, decode by the right one, once or twice.
-The likeliest result is accepted if its log-likelihood, with two characters of context on either side, exceeds that of the
-text as it stands by a margin. The margin is the one that best separates the runs of all clean records from the same runs
-garbled on purpose, by histograms of what they gain. Counts, margins and search cover all records.
+finds unlikely is put through every candidate chain: encode by the wrong encoding, decode by the right one, once or twice,
+where the second wrong encoding may be another than the first. The likeliest result is accepted if its log-likelihood, with
+two characters of context on either side, exceeds that of the text as it stands by a margin.
+
+The margin is the one that best separates the runs of all clean records from the same runs garbled on purpose, by
+histograms of what they gain. It is cross-fitted: records are halved by a hash of their text, and the runs of either half
+are scored by the model counted over the other, so no run is judged by its own record or by a copy of it. A run counts with
+its window (itself and two characters on either side), and equal windows are summed in Spark and scored once. Counts,
+margins and search cover all records.
 
 The model is a table of fixed size (hashed counts), so it may be sent to every worker. Defined results: null, empty and
 ASCII texts are clean; a text with replacement or stray control characters is garbled even if nothing can be restored;
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillarn.session import cut, drop
+
 #: Sizes of the hashed count tables.
 TRI, BI, UNI = 1 << 22, 1 << 21, 1 << 17
-#: So many runs are scored at once for the margins.
-RUNS = 2000
+SLOTS = TRI + BI + UNI
+#: So many windows are scored at once for the margins; a worker sends on what it has summed from so many on.
+RUNS, SUMMED = 2000, 200_000
 SMOOTHING = 2.0
 #: Runs with a character less likely than this (natural logarithm) are put through the chains.
 GATE = -5.0
@@ -59,8 +68,8 @@ def _table(encoding: str) -> tuple[dict[str, int], list[str | None]]:
 class Chain:
     """Undo reading ``right`` bytes by the encoding ``wrong``."""
 
-    def __init__(self, wrong: str, right: str, times: int = 1):
-        self.wrong, self.right, self.times = wrong, right, times
+    def __init__(self, wrong: str, right: str):
+        self.wrong, self.right = wrong, right
         self.byte, self.char = _table(wrong)
         if right == "utf-8":
 
@@ -80,29 +89,24 @@ class Chain:
             return m.group()
 
     def undo(self, run: str) -> str:
-        for _ in range(self.times):
-            if self.right == "utf-8":
-                run = self.pattern.sub(self._whole, run)
-            elif any(c not in self.byte for c in run):
-                return run
-            elif self.to is not None:
-                out = [self.to[self.byte[c]] for c in run]
-                return run if None in out else "".join(out)
-            else:
-                try:
-                    return bytes(self.byte[c] for c in run).decode(self.right)
-                except UnicodeDecodeError:
-                    return run
-        return run
+        if self.right == "utf-8":
+            return self.pattern.sub(self._whole, run)
+        if any(c not in self.byte for c in run):
+            return run
+        if self.to is not None:
+            out = [self.to[self.byte[c]] for c in run]
+            return run if None in out else "".join(out)
+        try:
+            return bytes(self.byte[c] for c in run).decode(self.right)
+        except UnicodeDecodeError:
+            return run
 
     def garble(self, text: str) -> str:
         """Read ``text`` wrongly, or give it back where that can't be."""
-        for _ in range(self.times):
-            try:
-                text = "".join(self.char[b] for b in text.encode(self.right))
-            except (UnicodeEncodeError, TypeError):
-                return text
-        return text
+        try:
+            return "".join(self.char[b] for b in text.encode(self.right))
+        except (UnicodeEncodeError, TypeError):
+            return text
 
 
 _CHAINS: list[Chain] = []
@@ -110,7 +114,7 @@ _CHAINS: list[Chain] = []
 
 def chains() -> list[Chain]:
     if not _CHAINS:
-        _CHAINS.extend([Chain(x, "utf-8") for x in OVER_UTF8] + [Chain(x, "utf-8", 2) for x in OVER_UTF8[:2]] + [Chain(*p) for p in OVER_8BIT + MULTI_BYTE])
+        _CHAINS.extend([Chain(x, "utf-8") for x in OVER_UTF8] + [Chain(*p) for p in OVER_8BIT + MULTI_BYTE])
     return _CHAINS
 
 
@@ -120,33 +124,35 @@ def _repairs(run: str) -> tuple[tuple[str, bool], ...]:
     if run.isspace():
         return ()
     made = {c.undo(run): c.right != "utf-8" for c in reversed(chains())}
+    # what reads as UTF-8 may have been read wrongly before, by this encoding or another
+    for once in [x for x, narrow in made.items() if x != run and not narrow]:
+        for c in chains():
+            if c.right == "utf-8":
+                made.setdefault(c.undo(once), False)
     # words of letters alone don't hide other letters: read as UTF-8 they give plain text or mean what they say
     return tuple((x, narrow) for x, narrow in made.items() if x != run and (narrow or not run.isalpha() or all(PLAIN.match(c) for c in x if c not in run)))
 
 
+@lru_cache(1 << 16)
+def _reads(run: str) -> bool:
+    """Whether a run holds what reads as plain UTF-8 under another encoding."""
+    return any(PLAIN.fullmatch(c._whole(m)) for c in chains() if c.right == "utf-8" for m in c.pattern.finditer(run))
+
+
 def _suspect(text: str) -> bool:
     """Whether a text has characters that read as plain UTF-8 under another encoding, or lost ones."""
-    if LOST.search(text):
-        return True
-    for r in set(RUN.findall(text)):
-        if len(r) > 1:
-            for c in chains():
-                if c.right == "utf-8" and c.times == 1:
-                    for m in c.pattern.finditer(r):
-                        if PLAIN.fullmatch(c._whole(m)):
-                            return True
-    return False
+    return LOST.search(text) is not None or any(len(r) > 1 and _reads(r) for r in set(RUN.findall(text)))
 
 
 def _latin(c: str) -> bool:
     return c.isalpha() and (c < "\u0250" or "\u1e00" <= c < "\u1f00")
 
 
-def _unnatural(text: str, m: re.Match) -> bool:
-    """Whether a run stands where its characters hardly can: a symbol or a letter of another script inside a Latin word,
-    or a capital after a small letter."""
-    for p in range(*m.span()):
-        c, a, b = text[p], text[p - 1 : p] or " ", text[p + 1 : p + 2] or " "
+@lru_cache(1 << 16)
+def _unnatural(window: str) -> bool:
+    """Whether a run, given with one character on either side, stands where its characters hardly can: a symbol or a letter
+    of another script inside a Latin word, or a capital after a small letter."""
+    for a, c, b in zip(window, window[1:], window[2:]):
         if c.isspace() or c in "’‘·-‐‑":
             continue
         if c.isalpha():
@@ -157,6 +163,11 @@ def _unnatural(text: str, m: re.Match) -> bool:
     return False
 
 
+def _window(text: str, a: int, b: int, n: int = 2) -> str:
+    """A run of a text with ``n`` characters on either side, blanks beyond the text's ends."""
+    return text[max(0, a - n) : a].rjust(n) + text[a:b] + text[b : b + n].ljust(n)
+
+
 def _codes(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     return np.where((c >= 49) & (c <= 57), np.uint64(48), c)
@@ -214,39 +225,32 @@ class Model:
             lp[starts + k] = 0
         return np.add.reduceat(lp, starts)
 
-    def gains(self, texts: list[tuple[str, list[re.Match]]]) -> list[list[tuple[re.Match, tuple[str, bool], float]]]:
-        """For each text, its runs with the likeliest repair (and whether that changes one 8-bit encoding for another) and
-        what it gains."""
+    def gains(self, asked: list[tuple[str, int]]) -> list[tuple[str, bool, float] | None]:
+        """For each window with the times it was counted itself, the likeliest repair of its run, whether that changes one
+        8-bit encoding for another, and what it gains; None where no chain changes the run."""
         windows, ask, at = [], [], []
-        for k, (text, runs) in enumerate(texts):
-            for m in runs:
-                a, b = m.span()
-                pre, post = text[max(0, a - 2) : a].rjust(2), text[b : b + 2].ljust(2)
-                at.append((k, m, len(windows)))
-                windows.append(pre + m.group() + post)
-                ask.append((m.group(), False))
-                for fixed, narrow in _repairs(m.group()):
-                    windows.append(pre + fixed + post)
-                    ask.append((fixed, narrow))
+        for window, _ in asked:
+            at.append(len(windows))
+            run = window[2:-2]
+            windows.append(window)
+            ask.append((run, False))
+            for fixed, narrow in _repairs(run):
+                windows.append(window[:2] + fixed + window[-2:])
+                ask.append((fixed, narrow))
         own = np.zeros(len(windows), np.float32)
-        # a text that has the same run again and again doesn't speak for it either
-        near = [(k, texts[k][0][max(0, m.start() - 1) : m.end() + 1]) for k, m, _ in at]
-        often = {(k, x): texts[k][0].count(x) for k, x in set(near)}
-        own[[first for _, _, first in at]] = [often[x] for x in near]
+        own[at] = [n for _, n in asked]
         s = self.scores(windows, own)
-        for j, (k, m, first) in enumerate(at):
-            for i in range(first + 1, at[j + 1][2] if j + 1 < len(at) else len(windows)):
+        at.append(len(windows))
+        out: list[tuple[str, bool, float] | None] = []
+        for first, last in zip(at, at[1:]):
+            run = ask[first][0]
+            for i in range(first + 1, last):
                 new, narrow = ask[i]
-                if not narrow and all(PLAIN.match(c) for c in new if c not in m.group()):
-                    s[i] += CHANCE * (len(m.group()) - len(new))
-        out: list[list[tuple[re.Match, tuple[str, bool], float]]] = [[] for _ in texts]
-        for j, (k, m, first) in enumerate(at):
-            last = at[j + 1][2] if j + 1 < len(at) else len(windows)
-            if last > first + 1:
-                # what reads as UTF-8 goes before a change of letters
-                order = sorted(range(first + 1, last), key=lambda i: (ask[i][1] or s[i] - s[first] <= self.margin[False], -s[i]))
-                best = order[0]
-                out[k].append((m, ask[best], float(s[best] - s[first])))
+                if not narrow and all(PLAIN.match(c) for c in new if c not in run):
+                    s[i] += CHANCE * (len(run) - len(new))
+            # what reads as UTF-8 goes before a change of letters
+            best = min(range(first + 1, last), key=lambda i: (ask[i][1] or s[i] - s[first] <= self.margin[False], -s[i]), default=None)
+            out.append(None if best is None else (*ask[best], float(s[best] - s[first])))
         return out
 
     def unlikely(self, texts: list[str]) -> list[list[re.Match]]:
@@ -264,45 +268,27 @@ class Model:
             mine.setdefault(k, set()).add(p - int(starts[k]))
         none: set[int] = set()
         # what can't stand as it is goes through the chains however often a text repeats it
-        return [[m for m in RUN.finditer(t) if not mine.get(k, none).isdisjoint(range(*m.span())) or _unnatural(t, m)] for k, t in enumerate(texts)]
+        return [[m for m in RUN.finditer(t) if not mine.get(k, none).isdisjoint(range(*m.span())) or _unnatural(_window(t, *m.span(), 1))] for k, t in enumerate(texts)]
 
-    def tally(self, clean: list[str]) -> np.ndarray:
-        """Histograms over the margins of what runs of clean texts gain, and of what the same runs garbled do: by whether
-        the repair is narrow, by whether the run was garbled, by how many margins the gain exceeds."""
+    def tally(self, windows: list[tuple[str, int]]) -> np.ndarray:
+        """Histograms over the margins of what the runs of clean windows gain, and of what the same runs garbled do, each
+        window as often as it stands: by whether the repair is narrow, by whether the run was garbled, by how many margins
+        the gain exceeds. A window is garbled by one of the usual chains, named by its hash."""
         usual = [c for c in chains() if c.wrong in {"cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251"} and c.right in {"utf-8", "cp1252"}]
         out = np.zeros((2, 2, len(MARGINS) + 1), np.int64)
-
-        def add(asked: list[tuple[str, list[re.Match]]], garbled: int) -> None:
-            found = [(x, n) for g in self.gains(asked) for _, (_, n), x in g]
-            for narrow in (False, True):
-                x = [x for x, n in found if n == narrow]
-                out[int(narrow), garbled] += np.bincount(np.searchsorted(MARGINS, x), minlength=len(MARGINS) + 1)
-
-        good, n = [], 0
-        for t in [*clean, None]:
-            runs = list(RUN.finditer(t)) if t else []
-            for i in range(0, len(runs), RUNS):
-                good.append((t, runs[i : i + RUNS]))
-                n += len(good[-1][1])
-                if n >= RUNS:
-                    self._tally(good, usual, add)
-                    good, n = [], 0
-        self._tally(good, usual, add)
+        for i in range(0, len(windows), RUNS):
+            good, bad = windows[i : i + RUNS], []
+            for w, n in good:
+                run = w[2:-2]
+                wrong = usual[zlib.crc32(w.encode("utf-8", "surrogatepass")) % len(usual)].garble(run)
+                if wrong != run and RUN.fullmatch(wrong):
+                    bad.append((w[:2] + wrong + w[-2:], n))
+            for garbled, part in enumerate((good, bad)):
+                for found, (_, n) in zip(self.gains([(w, 0) for w, _ in part]), part):
+                    if found:
+                        out[int(found[1]), garbled, np.searchsorted(MARGINS, found[2])] += n
         return out
 
-    @staticmethod
-    def _tally(good: list, usual: list, add) -> None:
-        add(good, 0)
-        garbled = []
-        for t, runs in good:
-            salt = zlib.crc32(t.encode("utf-8", "surrogatepass"))
-            for m in runs:
-                wrong = usual[(salt + 7 * m.start()) % len(usual)].garble(m.group())
-                if wrong != m.group() and RUN.fullmatch(wrong):
-                    u = t[max(0, m.start() - 40) : m.start()] + wrong + t[m.end() : m.end() + 40]
-                    garbled.append((u, [x for x in RUN.finditer(u) if x.group() == wrong][:1]))
-        add(garbled, 1)
-
     def settle(self, tallies: np.ndarray) -> None:
         """Set the margins by the sum of all tallies."""
         for narrow in (True, False):
@@ -325,36 +311,73 @@ def _batches(texts: list, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
+def windows_of(text: str) -> list[str]:
+    """The windows of all runs of a text."""
+    return [_window(text, *m.span()) for m in RUN.finditer(text)]
+
+
 def train(documents: DataFrame) -> Model:
-    """Count the model over all clean records."""
+    """Count the model over all clean records, and set its margins by their windows."""
     texts = documents.select(F.col("text").alias("t")).where(F.length("t") > 0)
 
+    def batch(half: list, windows: Counter) -> pa.RecordBatch:
+        slots = [np.flatnonzero(h) for h in half]
+        n = np.concatenate([h[s] for h, s in zip(half, slots)])
+        sides = np.concatenate([np.full(len(s), i, np.int8) for i, s in enumerate(slots)])
+        keys = list(windows)
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays([pa.array(sides), pa.array([k[0] for k in keys], pa.int8())]),
+            pa.concat_arrays([pa.array(np.concatenate(slots), pa.int32()), pa.nulls(len(keys), pa.int32())]),
+            pa.concat_arrays([pa.nulls(len(n), pa.string()), pa.array([k[1] for k in keys], pa.string())]),
+            pa.concat_arrays([pa.array(n), pa.array(list(windows.values()), pa.int64())]),
+        ], ["half", "slot", "window", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TRI + BI + UNI, np.int64)
+        total, windows = [np.zeros(SLOTS, np.int64) for _ in (0, 1)], Counter()
         for b in batches:
-            clean = [t for t in b.column(0).to_pylist() if t.isascii() or not _suspect(t)]
-            for i, j in _batches(clean):
-                t, w, u = _slots(_codes("\n\n".join(["", *clean[i:j], ""])))
-                total[:TRI] += np.bincount(t, minlength=TRI)
-                total[TRI : TRI + BI] += np.bincount(w, minlength=BI)
-                total[TRI + BI :] += np.bincount(u, minlength=UNI)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], ["slot", "n"])
-
-    sums = texts.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(TRI + BI + UNI, np.int64)
-    counts[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
-    model = Model(counts)
-    held = documents.sparkSession.sparkContext.broadcast(model)
+            halves: tuple[list, list] = ([], [])
+            for t in b.column(0).to_pylist():
+                plain = t.isascii()
+                if plain or not _suspect(t):
+                    side = zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1
+                    halves[side].append(t)
+                    if not plain:
+                        windows.update((side, w) for w in windows_of(t))
+            for side, clean in enumerate(halves):
+                for i, j in _batches(clean):
+                    for at, slots, size in zip((0, TRI, TRI + BI), _slots(_codes("\n\n".join(["", *clean[i:j], ""]))), (TRI, BI, UNI)):
+                        total[side][at : at + size] += np.bincount(slots, minlength=size)
+            if len(windows) > SUMMED:
+                yield batch([np.zeros(0, np.int64)] * 2, windows)
+                windows = Counter()
+        yield batch(total, windows)
+
+    sums = cut(texts.mapInArrow(count, "half tinyint, slot int, window string, n bigint").groupBy("half", "slot", "window").agg(F.sum("n").alias("n")), "counts")
+    counts = np.zeros((2, SLOTS), np.float32)
+    for side in (0, 1):
+        part = sums.where((F.col("half") == side) & F.col("slot").isNotNull()).select("slot", "n").toArrow()
+        counts[side, part.column("slot").to_numpy()] = part.column("n").to_numpy()
+    held = documents.sparkSession.sparkContext.broadcast(counts)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum((held.value.tally([t for t in b.column(0).to_pylist() if not _suspect(t)]) for b in batches), np.zeros((2, 2, len(MARGINS) + 1), np.int64)).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["slot", "n"])
+        others: dict[int, Model] = {}
+        total = np.zeros((2, 2, len(MARGINS) + 1), np.int64)
+        for b in batches:
+            rows = list(zip(*(c.to_pylist() for c in b.columns)))
+            for side in (0, 1):
+                mine = [(w, n) for h, w, n in rows if h == side]
+                if mine:
+                    if side not in others:
+                        others[side] = Model(held.value[1 - side])
+                    total += others[side].tally(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], ["slot", "n"])
 
     tallies = np.zeros((2, 2, len(MARGINS) + 1), np.int64)
-    for slot, n in texts.where(F.col("t").rlike(r"[^\x00-\x7f]")).mapInArrow(tally, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+    for slot, n in sums.where("window is not null").select("half", "window", "n").mapInArrow(tally, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
         tallies.ravel()[slot] = n
     held.unpersist()
+    drop(sums)
+    model = Model(counts.sum(axis=0))
     model.settle(tallies)
     return model
 
@@ -372,14 +395,21 @@ def restored(documents: DataFrame) -> DataFrame:
             for i, j in _batches(all_texts):
                 texts = all_texts[i:j]
                 runs = m.unlikely(texts)
-                ask = [k for k, r in enumerate(runs) if r]
-                fixes = dict(zip(ask, m.gains([(texts[k], runs[k]) for k in ask])))
+                # equal windows, counted equally often in their texts, are scored once
+                asked: dict[tuple[str, int], tuple[str, bool, float] | None] = {}
+                at = []
+                for text, found in zip(texts, runs):
+                    near = [text[max(0, x.start() - 1) : x.end() + 1] for x in found]
+                    often = {x: text.count(x) for x in set(near)}
+                    at.append([(x, (_window(text, *x.span()), often[y])) for x, y in zip(found, near)])
+                    asked.update(dict.fromkeys(key for _, key in at[-1]))
+                asked = dict(zip(asked, m.gains(list(asked))))
                 rows = []
                 for k, text in enumerate(texts):
-                    good = [(x, *new) for x, new, gain in fixes.get(k, ()) if gain > m.margin[new[1]]]
+                    good = [(x, asked[key][:2]) for x, key in at[k] if asked[key] and asked[key][2] > m.margin[asked[key][1]]]
                     # UTF-8 proves itself; a change of letters needs one that can't stand as it is
-                    sure = any(narrow and _unnatural(text, x) for x, _, narrow in good)
-                    taken = [(x, new) for x, new, narrow in good if sure or not narrow]
+                    sure = any(narrow and _unnatural(_window(text, *x.span(), 1)) for x, (_, narrow) in good)
+                    taken = [(x, new) for x, (new, narrow) in good if sure or not narrow]
                     if not taken and not LOST.search(text):
                         continue
                     out, a = [], 0

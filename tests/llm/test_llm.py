@@ -344,22 +344,43 @@ def test_chains_undo_what_they_do():
                 assert all(c.undo(r) == text for r in [wrong]) or c.right in {"shift_jis", "euc_jp", "gbk"} or c.right == "utf-8" and c.undo(wrong) != wrong
 
 
+def test_second_reading_may_be_another():
+    """Text read wrongly twice, by two encodings, is among the candidates."""
+    by = {c.wrong: c for c in mojibake.chains() if c.right == "utf-8"}
+    for first, second in (("cp1252", "mac_roman"), ("latin-1", "cp1252"), ("cp437", "cp1251"), ("cp1252", "cp1252")):
+        wrong = by[second].garble(by[first].garble("é"))
+        assert ("é", False) in mojibake._repairs(wrong), (first, second)
+
+
 def test_margins_count_every_run():
     """Neither the length of a text nor the number of its runs keeps one of them from the margins."""
-    m = mojibake.Model(np.zeros(mojibake.TRI + mojibake.BI + mojibake.UNI))
+    m = mojibake.Model(np.zeros(mojibake.SLOTS))
+
+    def tally(*texts):
+        return m.tally([(w, 1) for t in texts for w in mojibake.windows_of(t)])
+
     texts = ["é" + " ordinary words" * 500 + " später" * 70, "naïve é ü " * 300]
     runs = [len(mojibake.RUN.findall(t)) for t in texts]
-    one, both = m.tally(texts[:1]), m.tally(texts)
-    assert (both == one + m.tally(texts[1:])).all()
-    one = m.tally(["x é y"])[:, 0].sum()
-    assert m.tally([" é" * 71])[:, 0].sum() == 71 * one and one and runs[0] == 71
-    assert m.tally([" é x" * 200])[:, 1].sum() > 100
+    assert (tally(*texts) == tally(texts[0]) + tally(texts[1])).all()
+    one = tally("x é y")[:, 0].sum()
+    assert tally(" é" * 71)[:, 0].sum() == 71 * one and one and runs[0] == 71
+    assert (m.tally([("x é y"[:3] + " y", 71)]) == 71 * m.tally([("x é y"[:3] + " y", 1)])).all()
+    assert tally(" é x" * 200)[:, 1].sum() > 100
+
+
+def test_margins_are_cross_fitted(spark, monkeypatch):
+    """A run is scored by the half that its record, and a copy of it, isn't in."""
+    docs = spark.createDataFrame([(i, "Größe der Brücke", "s", "x") for i in range(40)], DOC)
+    calls = []
+    monkeypatch.setattr(mojibake.Model, "settle", lambda self, t: calls.append(t.sum()))
+    mojibake.train(docs)
+    assert calls[0] > 0
 
 
 def test_long_texts_set_the_margins(spark):
     text = "Le café près de la forêt était fermé, où l'élève à côté rêvait déjà. "
     docs = spark.createDataFrame([(i, text * 80 + f"Numéro {i}", "s", "x") for i in range(20)], DOC)
-    assert mojibake.train(docs).margin != mojibake.Model(np.zeros(mojibake.TRI + mojibake.BI + mojibake.UNI)).margin
+    assert mojibake.train(docs).margin != mojibake.Model(np.zeros(mojibake.SLOTS)).margin
 
 
 def test_restored(spark):
@@ -375,5 +396,5 @@ def test_restored(spark):
 
 
 def test_scores_are_finite():
-    m = mojibake.Model(np.zeros(mojibake.TRI + mojibake.BI + mojibake.UNI))
+    m = mojibake.Model(np.zeros(mojibake.SLOTS))
     assert np.isfinite(m.logp("abc é")).all() and len(m.logp("a")) == 1

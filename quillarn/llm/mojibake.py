@@ -18,6 +18,7 @@ repeated rows are handled each; an empty table gives empty results.
 """
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections import Counter
@@ -53,16 +54,19 @@ RUN = re.compile(r"[^\x00-\x7f]+")
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
-def _table(encoding: str) -> tuple[dict[str, int], list[str | None]]:
-    """Byte of each character and character of each byte; bytes an encoding leaves out stand for themselves, as lenient
-    decoders have it."""
-    chars: list[str | None] = []
+#: What stands for a byte without a character in the tables of ``codecs``.
+NONE = "\ufffe"
+
+
+def _table(encoding: str) -> str:
+    """The character of each byte; bytes an encoding leaves out stand for themselves, as lenient decoders have it."""
+    chars = []
     for b in range(256):
         try:
             chars.append(bytes([b]).decode(encoding))
         except UnicodeDecodeError:
-            chars.append(chr(b) if 0x80 <= b < 0xA0 else None)
-    return {c: b for b, c in enumerate(chars) if c is not None}, chars
+            chars.append(chr(b) if 0x80 <= b < 0xA0 else NONE)
+    return "".join(chars)
 
 
 class Chain:
@@ -70,42 +74,41 @@ class Chain:
 
     def __init__(self, wrong: str, right: str):
         self.wrong, self.right = wrong, right
-        self.byte, self.char = _table(wrong)
+        self.char = _table(wrong)
+        self.byte = codecs.charmap_build(self.char)
         if right == "utf-8":
 
             def of(a: int, b: int) -> str:
-                return "[" + "".join(re.escape(self.char[i]) for i in range(a, b) if self.char[i]) + "]"
+                return "[" + "".join(re.escape(c) for c in self.char[a:b] if c != NONE) + "]"
 
             tail = of(0x80, 0xC0)
             self.pattern = re.compile(f"{of(0xC2, 0xE0)}{tail}|{of(0xE0, 0xF0)}{tail}{{2}}|{of(0xF0, 0xF5)}{tail}{{3}}")
         else:
-            _, self.to = _table(right) if right not in {"shift_jis", "euc_jp", "gbk"} else (None, None)
+            self.to = _table(right) if right not in {"shift_jis", "euc_jp", "gbk"} else None
+
+    def _raw(self, text: str) -> bytes:
+        return codecs.charmap_encode(text, "strict", self.byte)[0]
 
     def _whole(self, m: re.Match) -> str:
-        raw = bytes(self.byte[c] for c in m.group())
         try:
-            return raw.decode("utf-8")
+            return self._raw(m.group()).decode("utf-8")
         except UnicodeDecodeError:
             return m.group()
 
     def undo(self, run: str) -> str:
-        if self.right == "utf-8":
-            return self.pattern.sub(self._whole, run)
-        if any(c not in self.byte for c in run):
-            return run
-        if self.to is not None:
-            out = [self.to[self.byte[c]] for c in run]
-            return run if None in out else "".join(out)
         try:
-            return bytes(self.byte[c] for c in run).decode(self.right)
-        except UnicodeDecodeError:
-            return run
+            raw = self._raw(run)
+            if self.right != "utf-8" and self.to is not None:
+                return codecs.charmap_decode(raw, "strict", self.to)[0]
+            return raw.decode(self.right)
+        except UnicodeError:
+            return self.pattern.sub(self._whole, run) if self.right == "utf-8" else run
 
     def garble(self, text: str) -> str:
         """Read ``text`` wrongly, or give it back where that can't be."""
         try:
-            return "".join(self.char[b] for b in text.encode(self.right))
-        except (UnicodeEncodeError, TypeError):
+            return codecs.charmap_decode(text.encode(self.right), "strict", self.char)[0]
+        except UnicodeError:
             return text
 
 
@@ -128,7 +131,9 @@ def _repairs(run: str) -> tuple[tuple[str, bool], ...]:
     for once in [x for x, narrow in made.items() if x != run and not narrow]:
         for c in chains():
             if c.right == "utf-8":
-                made.setdefault(c.undo(once), False)
+                twice = c.undo(once)
+                if twice != once:
+                    made[twice] = False
     # words of letters alone don't hide other letters: read as UTF-8 they give plain text or mean what they say
     return tuple((x, narrow) for x, narrow in made.items() if x != run and (narrow or not run.isalpha() or all(PLAIN.match(c) for c in x if c not in run)))
 
@@ -373,7 +378,9 @@ def train(documents: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], ["slot", "n"])
 
     tallies = np.zeros((2, 2, len(MARGINS) + 1), np.int64)
-    for slot, n in sums.where("window is not null").select("half", "window", "n").mapInArrow(tally, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+    # the chains are tried once for each run: its windows come together
+    windows = sums.where("window is not null").select("half", "window", "n").repartition(F.expr("substring(window, 3, length(window) - 4)"))
+    for slot, n in windows.mapInArrow(tally, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
         tallies.ravel()[slot] = n
     held.unpersist()
     drop(sums)

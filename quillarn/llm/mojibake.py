@@ -379,7 +379,7 @@ def train(documents: DataFrame) -> Model:
 
     tallies = np.zeros((2, 2, len(MARGINS) + 1), np.int64)
     # the chains are tried once for each run: its windows come together
-    windows = sums.where("window is not null").select("half", "window", "n").repartition(F.expr("substring(window, 3, length(window) - 4)"))
+    windows = sums.where("window is not null").select("half", "window", "n").repartition(2 * documents.sparkSession.sparkContext.defaultParallelism, F.expr("substring(window, 3, length(window) - 4)"))
     for slot, n in windows.mapInArrow(tally, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
         tallies.ravel()[slot] = n
     held.unpersist()

@@ -1,17 +1,20 @@
 """Problem 8: whole texts as the ids of a public byte-level BPE tokenizer.
 
 The JVM cuts each text into the words the tokenizer merges within. Each Arrow batch is reduced to its distinct words, and
-those a worker has not met yet are merged by a recursive DuckDB query over token-position rows: join the rows with the
-merge table, contract each word's leftmost pair of least rank, until no pair is left. The words' ids are then laid out in
-text order. Such a query keeps the rows of all its rounds, the square of a word's length, so words of more than
-``LONG_WORD`` bytes (runs of letters or of blanks without end) are merged by a queue of pairs instead.
+those a worker has not met yet are merged by recursive DuckDB queries over token-position rows: join the rows with the
+merge table, contract each word's leftmost pair of least rank, until no pair is left. A recursive query keeps the rows of
+all its rounds, so it ends after ``ROUNDS``; words that are not done go on from there, and as no merge of the vocabulary
+makes a pair of lower rank, each further round contracts all the word's pairs of least rank at once, from the left. So a
+word of any length goes the same way, with rows in proportion to its length. The words' ids are laid out in text order.
+
+``decode`` joins ids with the vocabulary and aggregates the pieces in order.
 
 Defined results: null and empty texts give an empty list; strings that look like special tokens are ordinary text; any
 character is encodable, since the alphabet is the 256 bytes. Repeated rows are encoded each; other columns don't matter.
+Ids that aren't in the vocabulary can't be decoded and raise; null ids give a null text.
 """
 from __future__ import annotations
 
-import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -26,15 +29,16 @@ TOKENIZERS = os.environ.get("QUILLARN_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 #: Words a worker remembers before it forgets them all.
 KNOWN_WORDS = 400_000
-#: Rows, at most, of all rounds of one recursive query (or of one word).
+#: Rows, at most, of all rounds of one recursive query, and rounds of one.
 QUERY_ROWS = 1_500_000
-LONG_WORD = 256
+ROUNDS = 32
 
 # The tokenizer's word pattern; \s is spelled out because Java's own is ASCII only.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-CONTRACT = """
+# One round for each word: the leftmost pair of least rank.
+LEFTMOST = """
 WITH RECURSIVE t(w, pos, id, npos, nid, it) AS (
   SELECT w, pos, id, npos, nid, 0 FROM seed
   UNION ALL
@@ -47,11 +51,30 @@ WITH RECURSIVE t(w, pos, id, npos, nid, it) AS (
     SELECT a.w, a.pos, a.npos, a.new, n.npos AS nnpos, n.nid AS nnid
     FROM (SELECT p.w, arg_min(p.pos, m.rank * 1048576 + p.pos) AS pos, arg_min(p.npos, m.rank * 1048576 + p.pos) AS npos,
                  arg_min(m.new, m.rank * 1048576 + p.pos) AS new
-          FROM t AS p JOIN merges AS m ON p.id * 65536 + p.nid = m.pair GROUP BY p.w) AS a
+          FROM t AS p JOIN merges AS m ON p.id * 65536 + p.nid = m.pair WHERE p.it < {rounds} GROUP BY p.w) AS a
     JOIN t AS n ON n.w = a.w AND n.pos = a.npos) AS b ON t.w = b.w
   WHERE t.pos <> b.npos)
-SELECT w, pos, id FROM t QUALIFY it = max(it) OVER (PARTITION BY w) ORDER BY w, pos
+SELECT w, pos, id, it FROM t QUALIFY it = max(it) OVER (PARTITION BY w) ORDER BY w, pos
+"""
+# One round for each word: all pairs of least rank, of overlapping ones (of a token with itself) every other from the left.
+ALL = """
+WITH RECURSIVE t(w, pos, id, npos, nid, it) AS (
+  SELECT w, pos, id, npos, nid, 0 FROM seed
+  UNION ALL
+  (WITH hit AS (
+     SELECT p.w, p.pos, p.npos, p.id = p.nid AS twin, m.new, m.rank FROM t AS p JOIN merges AS m ON p.id * 65536 + p.nid = m.pair WHERE p.it < {rounds}
+     QUALIFY m.rank = min(m.rank) OVER (PARTITION BY p.w)),
+   run AS (SELECT *, CASE WHEN twin THEN pos - (npos - pos) * row_number() OVER (PARTITION BY w ORDER BY pos) END AS first FROM hit),
+   b AS (SELECT w, pos, npos, new FROM run QUALIFY NOT twin OR row_number() OVER (PARTITION BY w, first ORDER BY pos) % 2 = 1),
+   busy AS (SELECT DISTINCT w FROM b),
+   left_over AS (
+     SELECT t.w, t.pos, coalesce(b.new, t.id) AS id, CASE WHEN b.new IS NULL THEN t.npos ELSE n.npos END AS npos, CASE WHEN b.new IS NULL THEN t.nid ELSE n.nid END AS nid, t.it + 1 AS it
+     FROM t JOIN busy ON t.w = busy.w LEFT JOIN b ON b.w = t.w AND b.pos = t.pos LEFT JOIN t AS n ON n.w = b.w AND n.pos = b.npos
+     WHERE NOT EXISTS (SELECT 1 FROM b AS gone WHERE gone.w = t.w AND gone.npos = t.pos))
+   SELECT l.w, l.pos, l.id, l.npos, coalesce(b.new, l.nid), l.it FROM left_over AS l LEFT JOIN b ON b.w = l.w AND b.pos = l.npos))
+SELECT w, pos, id, it FROM t QUALIFY it = max(it) OVER (PARTITION BY w) ORDER BY w, pos
 """
+DECODE = "SELECT ids.doc, string_agg(v.piece, '' ORDER BY ids.pos) AS text FROM ids JOIN vocabulary AS v USING (id) GROUP BY ids.doc ORDER BY ids.doc"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -77,9 +100,12 @@ class Merger:
         self.con.execute("SET threads = 1")
         self.con.execute("SET memory_limit = '400MB'")
         self.con.execute("SET temp_directory = ''")
-        self.pairs = dict(zip((left * 65536 + right).tolist(), zip(range(len(merges)), new.tolist())))
         self.con.register("m", pa.table({"pair": left * 65536 + right, "rank": np.arange(len(merges)), "new": new}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
+        if len(np.unique(new)) < len(new) or np.any(np.sort(new) != new):
+            raise ValueError("contracting all pairs of a rank at once needs merges that make a new token each, in order")
+        self.con.register("m", pa.table({"id": pa.array(list(vocab.values()), pa.int64()), "piece": list(vocab)}))
+        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM m")
         self.byte_id = np.zeros(256, np.int64)
         for letter, b in _byte_letters().items():
             self.byte_id[b] = vocab[letter]
@@ -92,44 +118,34 @@ class Merger:
 
     @staticmethod
     def portions(words: pa.Array) -> list[tuple[int, int]]:
-        """Slices of words for one query each; a long word is alone."""
+        """Slices of words for one query each."""
         n = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         out, i, rows = [], 0, 0
         for j, k in enumerate(n.tolist()):
-            k2 = QUERY_ROWS + 1 if k > LONG_WORD else k * k // 2 + 1
+            k2 = k * min(k, ROUNDS) + 1
             if j > i and rows + k2 > QUERY_ROWS:
                 out.append((i, j))
                 i, rows = j, 0
             rows += k2
         return [*out, (i, len(n))]
 
-    def queued(self, raw: bytes) -> list[int]:
-        """The ids of one long word, by a queue of its pairs."""
-        ids = self.byte_id[np.frombuffer(raw, np.uint8)].tolist()
-        before, after = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
-        queue = []
-
-        def add(i: int) -> None:
-            j = after[i]
-            hit = self.pairs.get(ids[i] * 65536 + ids[j]) if j >= 0 else None
-            if hit:
-                heapq.heappush(queue, (hit[0], i, ids[i], ids[j], hit[1]))
-
-        for i in range(len(ids)):
-            add(i)
-        while queue:
-            _, i, a, b, new = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = new, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            add(i)
-            if before[i] >= 0:
-                add(before[i])
-        return [x for x in ids if x >= 0]
+    def contract(self, w: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, id) of the merged tokens of words given as rows in the order of words and positions."""
+        done, query = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], LEFTMOST
+        while len(w):
+            last = np.append(w[1:] != w[:-1], True)
+            seed = pa.table({"w": w, "pos": pos, "id": ids, "npos": np.where(last, -1, np.append(pos[1:], 0)), "nid": np.where(last, -1, np.append(ids[1:], 0))})
+            rounds = max(1, min(ROUNDS, QUERY_ROWS // len(w)))
+            self.con.register("seed", seed)
+            out = self.con.sql(query.format(rounds=rounds)).to_arrow_table()
+            self.con.unregister("seed")
+            w, pos, ids, it = (out.column(k).to_numpy() for k in ("w", "pos", "id", "it"))
+            open_ = it == rounds
+            done.append((w[~open_], ids[~open_]))
+            w, pos, ids, query = w[open_], pos[open_], ids[open_], ALL
+        w, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(w, kind="stable")
+        return w[order], ids[order]
 
     def merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words, one word after the other, and how many each has."""
@@ -138,31 +154,24 @@ class Merger:
         offsets = np.frombuffer(words.buffers()[1], np.int64, n + 1, words.offset * 8)
         if not n or offsets[0] == offsets[-1]:
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        if n == 1 and offsets[1] - offsets[0] > LONG_WORD:
-            out = self.queued(words[0].as_py().encode())
-            return np.array(out, np.int32), np.array([len(out)], np.int64)
         raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         lengths = np.diff(offsets)
-        word = np.repeat(np.arange(n), lengths)
-        pos = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], lengths)
-        ids = self.byte_id[raw]
-        last = np.ones(len(raw), bool)
-        last[:-1] = word[1:] != word[:-1]
-        following = np.append(ids[1:], 0)
-        long = np.repeat(lengths > 1, lengths)
-        seed = pa.table({"w": word[long], "pos": pos[long], "id": ids[long], "npos": np.where(last, -1, pos + 1)[long], "nid": np.where(last, -1, following)[long]})
-        if seed.num_rows:
-            self.con.register("seed", seed)
-            out = self.con.sql(CONTRACT).to_arrow_table()
-            self.con.unregister("seed")
-            w, p, i = (out.column(k).to_numpy() for k in ("w", "pos", "id"))
-            w, i = np.concatenate([w, word[~long]]), np.concatenate([i, ids[~long]])
-            order = np.argsort(w, kind="stable")
-            w, i = w[order], i[order]
-        else:
-            w, i = word, ids
+        w, i = self.contract(np.repeat(np.arange(n), lengths), np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], lengths), self.byte_id[raw])
         return i.astype(np.int32), np.bincount(w, minlength=n).astype(np.int64)
 
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The texts of lists of ids; bytes that are no UTF-8 come out as U+FFFD."""
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        flat = ids.flatten()
+        self.con.register("ids", pa.table({"doc": np.repeat(np.arange(len(sizes)), sizes), "pos": np.arange(len(flat)), "id": flat.cast(pa.int64())}))
+        if self.con.sql("SELECT 1 FROM ids WHERE id IS NULL OR id NOT IN (SELECT id FROM vocabulary) LIMIT 1").fetchall():
+            raise ValueError("there are ids that aren't in the vocabulary")
+        out, letters = [""] * len(sizes), _byte_letters()
+        for doc, text in self.con.sql(DECODE).fetchall():
+            out[doc] = bytes(map(letters.__getitem__, text)).decode("utf-8", "replace")
+        self.con.unregister("ids")
+        return out
+
     def encode(self, words: pa.Array, sizes: np.ndarray) -> pa.ListArray:
         """The ids of texts given as their words, ``sizes`` of them each."""
         coded = words.dictionary_encode()
@@ -235,6 +244,21 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_i
     return cut.mapInArrow(run, f"k {kind}, ids array<int>").select(F.col("k").alias(key), "ids")
 
 
+def decode(rows: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, text) of each row of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merger(vocabulary)
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                texts = m.decode(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t if ok else None for t, ok in zip(texts, part.column(1).is_valid().to_pylist())], pa.string())], ["k", "text"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("k"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, f"k {kind}, text string").select(F.col("k").alias(key), "text")
+
+
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens) of each row of ``documents``."""
     return encode(documents, vocabulary, key, text).select(key, F.size("ids").cast("bigint").alias("n_tokens"))

@@ -35,6 +35,12 @@ def p8_ids(spark: SparkSession, data: str) -> DataFrame:
     return _encode.encode(table(spark, data, "documents"))
 
 
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p8_decoded(spark: SparkSession, data: str) -> DataFrame:
+    """Each text as its ids give it back."""
+    return _encode.decode(_encode.encode(table(spark, data, "documents")))
+
+
 _WORDS = r"""list_filter(regexp_split_to_array(replace(lower(regexp_replace({}, '</?[A-Za-z][^<>]*>|<\|[^<>|]*\|>|&#?\w{{1,8}};|\]\([^()\s]*\)', ' ', 'g')), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"""
 
 

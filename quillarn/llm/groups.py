@@ -8,7 +8,7 @@ Weighted rendezvous hashing then gives each group the split with the best of its
 thousandth of all rows (at most a thousand) are placed first, largest first, each into the split that lacks most; the
 others' weights are what is lacking then, so that the shares of rows come out as asked.
 
-Nodes are 64-bit hashes of their keys. Defined results: null or blank titles, subjects and questions relate nothing; a
+Nodes are 128-bit digests of their keys. Defined results: null or blank titles, subjects and questions relate nothing; a
 record without any key is a group of its own; null splits tear nothing, but rows with null splits belong to torn groups;
 an empty table gives empty results.
 """
@@ -26,7 +26,7 @@ LARGE = 0.001
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of a graph given as (a, b) pairs of longs, in any order and with any repeats; a == b makes a
+    """(node, component) of a graph given as (a, b) pairs of one type, in any order and with any repeats; a == b makes a
     node without neighbours. A component is named by its least node."""
     pair = edges.select(F.col("a").alias("v"), F.col("b").alias("u"))
     state = pair.union(pair.select("u", "v")).union(pair.select("v", F.col("v").alias("u"))).union(pair.select("u", F.col("u").alias("u2"))).distinct()
@@ -49,14 +49,14 @@ def grouped(records: DataFrame) -> DataFrame:
     """(stable_id, split, group_id) of each row."""
 
     def node(kind: str, key):
-        return F.when(key.isNotNull(), F.xxhash64(F.lit(kind), key))
+        return F.unhex(F.md5(F.concat(F.lit(kind + "\n"), key)))
 
     keys = F.array_compact(F.array(node("title", name_key(F.col("source_title"))), node("subject", name_key(F.col("subject"))), node("question", F.nullif(bare(F.col("question")), F.lit("")))))
     rows = cut(records.select("stable_id", "split", keys.alias("keys")), "keys")
     edges = rows.where(F.size("keys") > 0).select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct()
     comp = components(edges)
-    tied = rows.select("stable_id", "split", F.coalesce(F.get("keys", F.lit(0)), F.xxhash64(F.lit("alone"), F.coalesce("stable_id", F.lit("")))).alias("node"))
-    return cut(tied.join(comp, "node", "left").select("stable_id", "split", F.coalesce("component", "node").alias("group_id")), "grouped")
+    tied = rows.select("stable_id", "split", F.coalesce(F.get("keys", F.lit(0)), node("alone", F.coalesce("stable_id", F.lit("")))).alias("node"))
+    return cut(tied.join(comp, "node", "left").select("stable_id", "split", F.lower(F.hex(F.coalesce("component", "node"))).alias("group_id")), "grouped")
 
 
 def torn(groups: DataFrame) -> DataFrame:
@@ -86,8 +86,10 @@ def assign(groups: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
 
     ranked = [score(s, w) for s, w in sorted(weights.items()) if w > 0]
     drawn = (F.greatest(*ranked) if len(ranked) > 1 else ranked[0])["split"]
-    fixed = F.create_map(*[F.lit(x) for kv in placed.items() for x in kv]) if placed else None
-    return groups.select("stable_id", "group_id", "split", (F.coalesce(F.try_element_at(fixed, F.col("group_id")), drawn) if placed else drawn).alias("new_split"))
+    if not placed:
+        return groups.select("stable_id", "group_id", "split", drawn.alias("new_split"))
+    fixed = groups.sparkSession.createDataFrame(list(placed.items()), "group_id string, placed string")
+    return groups.join(F.broadcast(fixed), "group_id", "left").select("stable_id", "group_id", "split", F.coalesce("placed", drawn).alias("new_split"))
 
 
 def shares_of(assigned: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:

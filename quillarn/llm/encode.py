@@ -30,7 +30,7 @@ VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 #: Words a worker remembers before it forgets them all.
 KNOWN_WORDS = 400_000
 #: Rows, at most, of all rounds of one recursive query, and rounds of one.
-QUERY_ROWS = 1_500_000
+QUERY_ROWS = 3_000_000
 ROUNDS = 32
 
 # The tokenizer's word pattern; \s is spelled out because Java's own is ASCII only.
@@ -122,7 +122,7 @@ class Merger:
         n = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         out, i, rows = [], 0, 0
         for j, k in enumerate(n.tolist()):
-            k2 = k * min(k, ROUNDS) + 1
+            k2 = k * min(k // 2 + 1, ROUNDS) + 1
             if j > i and rows + k2 > QUERY_ROWS:
                 out.append((i, j))
                 i, rows = j, 0

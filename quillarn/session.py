@@ -28,9 +28,13 @@ def session(app: str = "quillarn", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, or a local one where none is named."""
+    """The folder all executors share: the one ``spark.checkpoint.dir`` names. Where that is unset, a local session (one
+    machine, as in tests) gets a temporary folder, and a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "quillarn-shared")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from quillarn.plans import corpus, qa, roster  # noqa: F401
+from quillarn.plans import corpus, qa, roster, study  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")

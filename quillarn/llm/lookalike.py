@@ -30,7 +30,6 @@ LOOKS = {
     "-": "‐‑−⁃﹣", "'": "’ʼ＇", "·": "‧・",
 }
 KINDS = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>"}
-GRAPHEME = regex.compile(r"\P{M}\p{M}{0,2}|\p{M}{1,3}")
 MARKED = regex.compile(r"\P{M}\p{M}{1,2}|\p{M}{1,3}")
 UNSEEN = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵ㅤﾠ︀-️\U000e0100-\U000e01ef]")
 BLANKS = regex.compile(r"[\s\p{Z}]+")
@@ -63,14 +62,15 @@ class Classes:
             self.parent[max(a, b)] = min(a, b)
 
 
-def rewriting(counts: dict[str, int]) -> dict[str, str]:
-    """pattern -> representative, for every pattern that isn't its own, given how often graphemes occur."""
+def rewriting(counts: dict[str, int], looks: dict[str, str] = LOOKS) -> dict[str, str]:
+    """pattern -> representative, for every pattern that isn't its own, given how often graphemes occur. ``looks`` joins
+    characters to those whose glyphs they share; by default letters of other scripts to Latin ones."""
     classes = Classes()
-    for latin, others in LOOKS.items():
+    for latin, others in looks.items():
         for c in others:
             classes.join(c, latin)
     seen = {UNSEEN.sub("", g) for g in counts} - {""}
-    todo = seen | {c for g in seen for c in g} | set(LOOKS) | {c for x in LOOKS.values() for c in x}
+    todo = seen | {c for g in seen for c in g} | set(looks) | {c for x in looks.values() for c in x}
     while todo:
         fresh = set()
         for g in todo:
@@ -113,8 +113,10 @@ def _strings(frames: list[tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
-def learn(frames: list[tuple[DataFrame, str]]) -> dict[str, str]:
-    """The rewriting of all texts of the given columns."""
+def learn(frames: list[tuple[DataFrame, str]], looks: dict[str, str] = LOOKS) -> dict[str, str]:
+    """The rewriting of all texts of the given columns. What comes to the driver are the distinct characters and marked
+    graphemes with their numbers: 254 of 20,000 references with their predictions, 262 of ten times as many, for they are the alphabets
+    in use."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = np.zeros(0x110000, np.int64)
@@ -131,7 +133,7 @@ def learn(frames: list[tuple[DataFrame, str]]) -> dict[str, str]:
         yield pa.RecordBatch.from_arrays([pa.array([*map(chr, at.tolist()), *marked], pa.string()), pa.array([*points[at].tolist(), *marked.values()], pa.int64())], ["g", "n"])
 
     rows = _strings(frames).mapInArrow(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
-    return rewriting(dict(zip(rows.column("g").to_pylist(), rows.column("n").to_pylist())))
+    return rewriting(dict(zip(rows.column("g").to_pylist(), rows.column("n").to_pylist())), looks)
 
 
 class Rewriter:
@@ -169,9 +171,10 @@ def rewritten(df: DataFrame, column: str, table: dict[str, str], to: str) -> Dat
         raise ValueError(f"there is a column {to} already")
     schema = T.StructType([*df.schema.fields, T.StructField(to, df.schema[column].dataType)])
     at = df.columns.index(column)
+    held = df.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Rewriter(table)
+        r = Rewriter(held.value)
         for b in batches:
             x = b.column(at)
             if pa.types.is_list(x.type):
@@ -185,19 +188,19 @@ def rewritten(df: DataFrame, column: str, table: dict[str, str], to: str) -> Dat
     return df.mapInArrow(run, schema)
 
 
-def found(predictions: DataFrame, references: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def found(predictions: DataFrame, references: list[DataFrame], looks: dict[str, str] = LOOKS) -> tuple[DataFrame, DataFrame]:
     """(predictions with their form, references with theirs): the rewriting is learnt from both."""
     refs = references[0].select("stable_id", "aliases")
     for r in references[1:]:
         refs = refs.union(r.select("stable_id", "aliases"))
     preds = predictions.select("ordinal", "stable_id", "prediction")
-    table = learn([(preds, "prediction"), (refs, "aliases")])
+    table = learn([(preds, "prediction"), (refs, "aliases")], looks)
     return rewritten(preds, "prediction", table, "form"), rewritten(refs, "aliases", table, "forms")
 
 
-def same_reading(predictions: DataFrame, references: list[DataFrame]) -> DataFrame:
+def same_reading(predictions: DataFrame, references: list[DataFrame], looks: dict[str, str] = LOOKS) -> DataFrame:
     """The ordinals of predictions that read like an alias of their question without being equal to one."""
-    preds, refs = found(predictions, references)
+    preds, refs = found(predictions, references, looks)
     known = refs.groupBy("stable_id").agg(F.flatten(F.collect_list("aliases")).alias("aliases"), F.flatten(F.collect_list("forms")).alias("forms"))
     both = preds.where("form <> ''").join(known, "stable_id")
     hit = F.exists("forms", lambda f: f == F.col("form")) & ~F.coalesce(F.exists("aliases", lambda a: a == F.col("prediction")), F.lit(False))

@@ -67,14 +67,14 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK) -> tuple[D
     used = {s: q for s, q in quota.items() if q > 0}
     plan, low = [], 0.0
     total = sum(used.values())
-    for s in sorted(used):
+    for i, s in enumerate(sorted(used)):
         high = low + used[s] / total
-        plan.append((s, used[s], have[s].tokens, math.ceil(used[s] / have[s].tokens - 1e-9), max(1, have[s].docs // BUCKET), low, high))
+        plan.append((s, used[s], have[s].tokens, math.ceil(used[s] / have[s].tokens - 1e-9), max(1, have[s].docs // BUCKET), low, high, i))
         low = high
-    sources = F.broadcast(spark.createDataFrame(plan, "source string, quota double, tokens bigint, uses int, buckets bigint, low double, high double"))
+    sources = F.broadcast(spark.createDataFrame(plan, "source string, quota double, tokens bigint, uses int, buckets bigint, low double, high double, place int"))
 
     order = F.xxhash64("doc_id", "use")
-    rows = docs.join(sources, "source").select("doc_id", "source", "n_tokens", "quota", "tokens", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias("use"), "buckets")
+    rows = docs.join(sources, "source").select("doc_id", "source", "n_tokens", "quota", "tokens", "place", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias("use"), "buckets")
     rows = rows.withColumn("h", order).withColumn("bucket", F.floor((F.shiftrightunsigned("h", 1) / F.lit(2.0**63)) * F.col("buckets")).cast("bigint"))
     sums = rows.groupBy("source", "use", "bucket").agg(F.sum("n_tokens").alias("n"))
     ahead = sums.select("source", "use", "bucket", (F.sum("n").over(Window.partitionBy("source", "use").orderBy("bucket")) - F.col("n")).alias("ahead"))
@@ -91,7 +91,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK) -> tuple[D
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot"))).join(before, ["source", "chunk"])
     blocks = ranked.select("source", "slot", (F.col("before") + F.col("rank") - 1).alias("block"))
     # the last blocks of a source may lie beyond its slots by the discrepancy; they follow at the end
-    mixed = chosen.join(blocks, ["source", "block"], "left").select(F.coalesce("slot", F.lit(n_slots) + F.col("block")).alias("slot"), "doc_id", "source", F.col("use").cast("int").alias("use"), "n_tokens")
+    mixed = chosen.join(blocks, ["source", "block"], "left").select(F.coalesce("slot", F.lit(n_slots) + F.col("block") * len(plan) + F.col("place")).alias("slot"), "doc_id", "source", F.col("use").cast("int").alias("use"), "n_tokens")
 
     uses = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), (F.max("use") + 1).alias("most_uses"))
     size = mixed.agg(F.sum("n_tokens").alias("size"))

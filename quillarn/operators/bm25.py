@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillarn.functions.text import search_terms
+from quillarn.sources.sinks import digest
 
 # English words the index leaves out.
 STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -40,9 +41,22 @@ def bucket(term: str) -> Column:
 
 
 def build(docs: DataFrame, path: str) -> None:
-    """Store the index of documents in folders by the hash of the term; a path that is there raises."""
+    """Store the index of documents in folders by the hash of the term, with the documents' digest; a path that is there
+    raises."""
     rows = postings(docs).withColumn("bucket", bucket("term"))
     rows.repartition("bucket").sortWithinPartitions("term", "doc_id").write.partitionBy("bucket").mode("errorifexists").parquet(path)
+    digest(docs.select("doc_id", "text")).write.mode("errorifexists").json(f"{path}/_documents")
+
+
+def validate(spark: SparkSession, path: str, docs: DataFrame) -> None:
+    """Raise unless a stored index is whole and of these documents: their digest is the stored one, and each document with a
+    term has postings."""
+    stored = spark.read.schema("rows bigint, digest string").json(f"{path}/_documents").first()
+    if stored != digest(docs.select("doc_id", "text")).first():
+        raise ValueError("the index is of other documents")
+    with_terms = docs.where(F.exists(search_terms(F.col("text")), lambda t: ~t.isin(STOPWORDS))).select("doc_id")
+    if with_terms.join(spark.read.parquet(path).select("doc_id").distinct(), "doc_id", "left_anti").limit(1).count():
+        raise ValueError("the index isn't whole")
 
 
 def search_stored(spark: SparkSession, path: str, queries: DataFrame, k: int, limit: int = 600) -> DataFrame:

@@ -194,6 +194,22 @@ def assembled(parts: DataFrame, expected: DataFrame, *key: str) -> DataFrame:
     return parts
 
 
+def slot_problems(rows: DataFrame, expected: DataFrame, slots: int, key: str = "index") -> DataFrame:
+    """(key, problem) of rows that several slots wrote: keys missing, extra or there twice, and rows of a slot that isn't the
+    key's."""
+    foreign = rows.where(F.col("slot") != F.pmod(key, F.lit(slots))).select(key, F.lit("foreign").alias("problem"))
+    return key_difference(rows, expected, key).union(foreign)
+
+
+def binding_problems(freeze: dict, run: dict, pinned: list[str]) -> list[str]:
+    """What keeps a run from counting as one of a frozen candidate: another digest or setting, or a start before the freeze
+    or after its own end."""
+    off = [k for k in ("candidate", "freeze_sha256", *pinned) if freeze.get(k) != run.get(k)]
+    if not freeze["frozen_at"] <= run["started_at"] < run["completed_at"]:
+        off.append("order")
+    return off
+
+
 def unsafe(path: str) -> bool:
     """Whether a relative path could leave its folder."""
     return path.startswith("/") or ".." in path.split("/") or posixpath.normpath(path) != path or path in {"", "."}

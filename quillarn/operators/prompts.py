@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillarn.functions.text import answer_text, stripped
-from quillarn.operators.normalise import PROMPTS
+from quillarn.functions.text import answer_text, stripped, token_digest, weak_key
+from quillarn.operators.checks import encoded_problems
+from quillarn.operators.models import tokens
+from quillarn.operators.normalise import PROMPTS, prompt
 
 Counter = Callable[[list[str]], list[int]]
 # The parts of a prompt with evidence.
@@ -134,6 +136,15 @@ def prompt_stats(prepared: DataFrame, *by: str) -> DataFrame:
     return rest.join(hist.select(*by, walk.alias("median")), list(by)) if by else rest.crossJoin(hist.select(walk.alias("median")))
 
 
+def population(rows: DataFrame, tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]], vocabulary: int) -> DataFrame:
+    """Questions (dataset, stable_id, question, answer) encoded once for all runs: the ids of prompt and answer, the hash of
+    the question's key, digests of the ids and of the whole row, and what is wrong with it, if anything."""
+    texts = rows.withColumns({"_prompt": prompt(F.col("question"), "concise-format-v1"), "_gold": F.concat(F.lit(" "), stripped(F.col("answer")))})
+    ids = tokens(tokens(texts, "_prompt", tokenizer, "prompt_ids"), "_gold", tokenizer, "gold_ids").drop("_prompt", "_gold")
+    r = ids.withColumns({"question_group": F.sha2(weak_key(F.col("question")), 256), "prompt_sha256": token_digest(F.col("prompt_ids")), "problem": encoded_problems(F.col("prompt_ids"), F.col("gold_ids"), vocabulary)})
+    return r.withColumn("input_sha256", F.sha2(F.to_json(F.struct(*sorted(r.columns))), 256))
+
+
 def teacher_records(rows: DataFrame, bos: int, before: list[int], after: list[int], prefix: int = 64, target: int = 32, evidence: int = 512) -> DataFrame:
     """Training records of passages (doc_id, title, tokens, evidence tokens, documents): a prefix and a target of tokens as
     the student sees them, and as the teacher does, behind the evidence; with the positions that predict the target.

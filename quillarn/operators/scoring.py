@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillarn.functions.arrays import token_f1
-from quillarn.functions.text import answer_text, first_line_answer, regex_search, yes_no, yes_no_prefix
+from quillarn.functions.text import answer_text, before_question, first_line_answer, regex_search, yes_no, yes_no_prefix
+from quillarn.operators.skew import salted_join
 
 METRICS = ("em", "f1", "containment")
 CELL = ("dataset", "method", "coefficient")
@@ -37,9 +38,10 @@ def judged(pairs: DataFrame, references: DataFrame) -> DataFrame:
 
 def scored(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """The scores of each prediction that has a reference. An answer given again and again is scored once; the rows meet
-    their scores on (stable_id, answer), where adaptive execution splits a hot key."""
+    their scores on (stable_id, answer), where those of hot keys are salted."""
     rows = answers(predictions)
-    return rows.join(judged(rows.select("stable_id", "answer").distinct(), references), ["stable_id", "answer"]).select("ordinal", "stable_id", *CELL, *METRICS)
+    distinct = judged(rows.select("stable_id", "answer").distinct(), references)
+    return salted_join(rows, distinct, ["stable_id", "answer"], F.col("ordinal")).select("ordinal", "stable_id", *CELL, *METRICS)
 
 
 def tallied(predictions: DataFrame, references: DataFrame, *more: str) -> DataFrame:
@@ -235,6 +237,18 @@ def improved_everywhere(board: DataFrame, gate: str, fixed: str) -> DataFrame:
     return g.join(f, "dataset").agg((F.avg("g") > F.avg("f")).alias("macro_better"), F.coalesce(F.bool_and(F.col("g") > F.col("f")), F.lit(False)).alias("all_datasets_better"))
 
 
+def reextracted(predictions: DataFrame, decoded: str, method: str = "memory_decoder") -> DataFrame:
+    """``predictions`` in which the answers of one method with a coefficient other than 0 are taken from its decoded output
+    again; other answers stay as they are stored."""
+    again = (F.col("method") == method) & (F.coalesce("coefficient", F.lit(0.0)) != 0)
+    return predictions.withColumn("prediction", F.when(again, before_question(F.col(decoded))).otherwise(F.col("prediction")))
+
+
+def at_selected(curves: DataFrame, selected: DataFrame) -> DataFrame:
+    """The points of curves at each method's selected coefficient (method, coefficient)."""
+    return curves.join(F.broadcast(selected.select("method", "coefficient")), ["method", "coefficient"], "left_semi")
+
+
 def over_runs(cells: DataFrame, columns: list[str], run: str, *by: str) -> DataFrame:
     """Means and sample deviations of metrics over runs, and the number of runs."""
     return cells.groupBy(*by).agg(F.countDistinct(run).alias("runs"), *[F.round(f(c), 6).alias(f"{c}_{k}") for c in columns for k, f in (("mean", F.avg), ("sd", F.stddev_samp))])

@@ -226,6 +226,24 @@ def parse_fractions(text: str) -> list[float]:
     return values
 
 
+def parse_seeds(text: str, known: list[int]) -> list[int]:
+    """The seeds of a list with commas in the order they are known in, all of them if it is empty; others raise."""
+    seeds = [int(x) for x in text.split(",") if x.strip()] or known
+    if len(set(seeds)) < len(seeds) or not set(seeds) <= set(known):
+        raise ValueError("seeds are distinct known ones")
+    return [s for s in known if s in seeds]
+
+
+def checkpoint_label(epoch: int, fraction: float, complete: bool) -> str:
+    """The name of a checkpoint: by the epochs that are complete, or by the part of a pass."""
+    if epoch < 0 or not (complete or 0 <= fraction < 1):
+        raise ValueError("no place in a run")
+    if complete or math.isclose(fraction, 0.0, abs_tol=1e-12):
+        done = epoch + bool(complete)
+        return f"ep{done}" if done else "pass0"
+    return "pass" + f"{fraction:.7f}".rstrip("0").rstrip(".").replace(".", "p")
+
+
 #: Fractions of a pass a run is kept at.
 FRACTIONS = [2.0**-k for k in range(7, -1, -1)]
 

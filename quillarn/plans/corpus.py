@@ -234,12 +234,21 @@ def timing_summary(spark: SparkSession, data: str) -> DataFrame:
     return d.select("world_size", "n", *[F.round(c, 6).alias(c) for c in ("median", "q25", "q75", "iqr", "mad", "low", "high")])
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT step, attempt_id, logged_at, loss FROM telemetry WHERE step IS NOT NULL AND logged_at IS NOT NULL), w AS (SELECT time_bucket(INTERVAL 1 HOUR, logged_at) AS s, count(*) AS rows, round(avg(loss), 6) AS loss, max(step) AS last_step FROM t GROUP BY ALL)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, rows, loss, last_step FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(logged_at) FROM telemetry) - INTERVAL 1 HOUR""")
 def telemetry_stream(spark: SparkSession, data: str) -> DataFrame:
-    """Interval means by the stream's plan, over what is there."""
-    from quillarn.streaming.metrics import intervals
-
-    return intervals(table(spark, data, "telemetry"))
+    """The log as a stream of files: hours that are closed an hour after the last row, appended to a table."""
+    import uuid
+
+    from quillarn.session import shared_dir
+    from quillarn.streaming import metrics
+
+    schema = table(spark, data, "telemetry").schema
+    log = metrics.read_log(spark, f"{data}/telemetry.parque[t]", schema).withColumn("logged_at", F.col("logged_at").cast("timestamp"))
+    root = f"{shared_dir(spark)}/quillarn/stream-{uuid.uuid4().hex}"
+    closed = metrics.windows(log, "1 hour", "1 hour")
+    metrics.append(closed, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{root}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "rows", "loss", "last_step")
 
 
 LOGITS = "WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), m AS (SELECT vec_id - 1 AS vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS y FROM embeddings), v AS (SELECT vec_id, label, x, y FROM b JOIN m USING (vec_id)), "

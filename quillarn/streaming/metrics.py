@@ -15,6 +15,20 @@ def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def records(steps: DataFrame) -> DataFrame:
+    """The log's records of raw steps: hours of all workers are what the clock says by the number of them."""
+    hours = F.col("wall_seconds") * F.col("world_size") / 3600
+    names = ["step", "optimizer_step", "epoch", "epoch_fraction", "seen_tokens", "ce", "kl", "loss", "lr", "tokens_per_s", "wall_seconds", "gpu_hours", "world_size", "attempt_id", "resume_from_step", "logged_at"]
+    return steps.withColumns({"optimizer_step": F.col("step"), "gpu_hours": hours}).select(*names)
+
+
+def status(log: DataFrame, steps: int) -> DataFrame:
+    """(value): where a run stands by its last record, as JSON: phase, step, share of the steps, tokens and hours."""
+    last = log.where("step is not null").agg(F.max_by(F.struct("step", "seen_tokens", "gpu_hours", "loss"), F.struct("step", "logged_at")).alias("r")).select("r.*")
+    phase = F.when(F.col("step").isNull(), "starting").when(F.col("step") >= steps, "complete").otherwise("running")
+    return last.select(F.to_json(F.struct(phase.alias("phase"), "step", F.round(F.col("step") / steps, 6).alias("share"), "seen_tokens", "gpu_hours", "loss")).alias("value"))
+
+
 def intervals(log: DataFrame, every: int = 1000, late: str = "30 days") -> DataFrame:
     """Means of each ``every`` steps, over rows sent once; rows later than ``late`` are dropped with their state."""
     if log.isStreaming:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from quillarn.functions import arrays as A
 from quillarn.functions import text as X
-from quillarn.operators import bm25, bootstrap, checks, models, normalise, policy, prompts, scope, scoring, sequence, timing
-from quillarn.sources import files, sinks
+from quillarn.operators import bm25, bootstrap, checks, models, normalise, policy, prompts, scope, scoring, sequence, skew, timing
 
 
 def one(spark, col, **values):
@@ -725,3 +724,52 @@ def test_model_seam(spark):
     assert (models.initial_tensor("norm.weight", (2,), 1, "s") == 1).all() and models.initial_tensor("a", (9,), 1, "s").std() < 0.1
     inv = models.inventory(spark.createDataFrame([("a", "f4", 3, 12), ("b", "f2", 2, 4), ("c", "f4", 1, 4)], "name string, dtype string, numel bigint, bytes bigint"))
     assert {(r.dtype, r.parameters, r.bytes) for r in inv.collect()} == {("f4", 4, 16), ("f2", 2, 4), (None, 6, 20)}
+
+
+def test_populations(spark):
+    df = spark.createDataFrame([("nq", "a", " Ｗho? ", "x y"), ("nq", "b", "who?", "z")], "dataset string, stable_id string, question string, answer string")
+    got = {r.stable_id: r for r in prompts.population(df, lambda: lambda texts: [[len(w) for w in t.split()] for t in texts], 20).collect()}
+    assert got["a"].gold_ids == [1, 1] and got["a"].question_group == got["b"].question_group and got["a"].problem is None and got["a"].input_sha256 != got["b"].input_sha256
+    assert prompts.population(df, lambda: lambda texts: [[99] for _ in texts], 20).first().problem == "ids"
+
+
+def test_runs_and_bindings(spark):
+    assert sequence.parse_seeds("7, 3", [3, 5, 7]) == [3, 7] and sequence.parse_seeds("", [3, 5]) == [3, 5]
+    for bad in ("3,3", "4"):
+        with pytest.raises(ValueError):
+            sequence.parse_seeds(bad, [3, 5])
+    assert [sequence.checkpoint_label(*x) for x in ((0, 0.0, False), (1, 0.0, False), (1, 0.5, True), (0, 0.125, False))] == ["pass0", "ep1", "ep2", "pass0p125"]
+    with pytest.raises(ValueError):
+        sequence.checkpoint_label(0, 1.5, False)
+    f = {"candidate": "c", "freeze_sha256": "1", "lr": 2, "frozen_at": 5}
+    assert checks.binding_problems(f, f | {"started_at": 5, "completed_at": 6}, ["lr"]) == []
+    assert checks.binding_problems(f, f | {"lr": 3, "started_at": 4, "completed_at": 6}, ["lr"]) == ["lr", "order"]
+    rows = spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "index bigint, slot int")
+    want = spark.range(3).withColumnRenamed("id", "index")
+    assert {tuple(r) for r in checks.slot_problems(rows, want, 2).collect()} == {(1, "repeated"), (2, "missing"), (1, "foreign")}
+
+
+def test_selected_and_extracted(spark):
+    c = spark.createDataFrame([("a", 0.1, 1), ("a", 0.2, 2), ("b", 0.1, 3)], "method string, coefficient double, v int")
+    assert {r.v for r in scoring.at_selected(c, c.where("v in (2, 3)")).collect()} == {2, 3}
+    p = spark.createDataFrame([("memory_decoder", 0.5, "x", "y\nz"), ("memory_decoder", 0.0, "x", "y"), ("base", None, "x", "y")], "method string, coefficient double, prediction string, decoded string")
+    assert [r.prediction for r in scoring.reextracted(p, "decoded").collect()] == ["y", "x", "x"]
+
+
+def test_index_of_other_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "old mill"), (2, "the"), (3, None)], "doc_id bigint, text string")
+    bm25.build(docs, str(tmp_path / "i"))
+    bm25.validate(spark, str(tmp_path / "i"), docs)
+    with pytest.raises(ValueError, match="other"):
+        bm25.validate(spark, str(tmp_path / "i"), docs.limit(2))
+
+
+def test_salted_joins(spark):
+    """Hot keys and rows without a key are spread; nothing is lost or doubled."""
+    big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.concat(F.lit("k"), (F.col("id") % 1500).cast("string"))).alias("k"))
+    small = spark.createDataFrame([("hot", 1), ("k5", 2), ("k8", 3), ("z", 4)], "k string, v int")
+    assert [r.k for r in skew.hot_keys(big.where("k is not null"), "k").collect()] == ["hot"]
+    for how in ("inner", "left"):
+        a, b = ({tuple(r) for r in x.select("id", "k", "v").collect()} for x in (skew.salted_join(big, small, ["k"], F.col("id"), how=how), big.join(small, "k", how)))
+        assert a == b and len(a) == skew.salted_join(big, small, ["k"], F.col("id"), how=how).count()
+    assert skew.salted_join(big.limit(0), small, ["k"], F.col("id")).count() == 0

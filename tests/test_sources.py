@@ -282,3 +282,12 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         session.shared_dir(Fake)
+
+
+def test_records_and_status(spark):
+    raw = log(spark, 3).withColumns({"epoch": F.lit(0), "epoch_fraction": F.lit(0.1), "kl": F.lit(0.0), "lr": F.lit(0.1), "tokens_per_s": F.lit(1.0), "wall_seconds": F.lit(1800.0), "world_size": F.lit(4), "resume_from_step": F.lit(None).cast("bigint")})
+    r = metrics.records(raw)
+    assert {x.gpu_hours for x in r.collect()} == {2.0}
+    s = json.loads(metrics.status(r, 4).first().value)
+    assert (s["phase"], s["step"], s["share"], s["gpu_hours"]) == ("running", 2, 0.5, 2.0)
+    assert json.loads(metrics.status(r.limit(0), 4).first().value)["phase"] == "starting"

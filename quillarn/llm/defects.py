@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillarn.llm import lookalike
+from quillarn.operators.skew import salted_join
 
 SAMPLE, SAMPLE_CHARS = 6000, 5000
 #: Least lead of the best language's logarithmic posterior over the question's language.
@@ -346,7 +347,7 @@ def defects(predictions: DataFrame, references: list[DataFrame], documents: Data
     preds = lookalike.rewritten(predictions.select("ordinal", "stable_id", "prediction"), "prediction", table, "form")
     judge = predictions.sparkSession.sparkContext.broadcast(Judge(fit_languages(documents), fit_ends(refs, "forms")))
     known = refs.groupBy("stable_id").agg(F.min("question").alias("question"), F.flatten(F.collect_list(F.coalesce("forms", F.array().cast("array<string>")))).alias("forms"))
-    both = preds.select("ordinal", "stable_id", "form").join(known, "stable_id", "left")
+    both = salted_join(preds.select("ordinal", "stable_id", "form"), known, ["stable_id"], F.col("ordinal"), predictions.select("stable_id"), "left")
     odd = both.where(F.col("form").isNull() | ~F.coalesce(F.array_contains("forms", F.col("form")), F.lit(False))).select("ordinal", "form", "question", "forms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillarn.operators.skew import salted_join
+
 # Letters of other scripts whose glyphs equal Latin ones, and hyphens.
 LOOKS = {
     "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "іıι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "սυ", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уγ", "z": "ᴢ",
@@ -202,6 +204,6 @@ def same_reading(predictions: DataFrame, references: list[DataFrame], looks: dic
     """The ordinals of predictions that read like an alias of their question without being equal to one."""
     preds, refs = found(predictions, references, looks)
     known = refs.groupBy("stable_id").agg(F.flatten(F.collect_list("aliases")).alias("aliases"), F.flatten(F.collect_list("forms")).alias("forms"))
-    both = preds.where("form <> ''").join(known, "stable_id")
+    both = salted_join(preds.where("form <> ''"), known, ["stable_id"], F.col("ordinal"), predictions.select("stable_id"))
     hit = F.exists("forms", lambda f: f == F.col("form")) & ~F.coalesce(F.exists("aliases", lambda a: a == F.col("prediction")), F.lit(False))
     return both.where(hit).select("ordinal")

@@ -31,7 +31,7 @@ VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 KNOWN_WORDS = 400_000
 #: Rows, at most, of all rounds of one recursive query, and rounds of one.
 QUERY_ROWS = 3_000_000
-ROUNDS = 32
+ROUNDS = 64
 
 # The tokenizer's word pattern; \s is spelled out because Java's own is ASCII only.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -135,7 +135,9 @@ class Merger:
         while len(w):
             last = np.append(w[1:] != w[:-1], True)
             seed = pa.table({"w": w, "pos": pos, "id": ids, "npos": np.where(last, -1, np.append(pos[1:], 0)), "nid": np.where(last, -1, np.append(ids[1:], 0))})
-            rounds = max(1, min(ROUNDS, QUERY_ROWS // len(w)))
+            size = np.diff(np.append(np.flatnonzero(np.append(True, w[1:] != w[:-1])), len(w)))
+            fits = (size * np.minimum(size // 2 + 1, ROUNDS)).sum() <= QUERY_ROWS
+            rounds = ROUNDS if fits else max(1, min(ROUNDS, QUERY_ROWS // len(w)))
             self.con.register("seed", seed)
             out = self.con.sql(query.format(rounds=rounds)).to_arrow_table()
             self.con.unregister("seed")

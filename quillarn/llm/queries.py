@@ -71,6 +71,14 @@ def p2_pieces(spark: SparkSession, data: str) -> DataFrame:
     return _split.pieces(table(spark, data, "documents"))
 
 
+@query("SELECT doc_id, text FROM documents WHERE length(text) > 2000")
+def p2_rebuilt(spark: SparkSession, data: str) -> DataFrame:
+    """Each long text from its pieces without their overlaps: nothing is lost and nothing doubled."""
+    new = F.struct("piece", F.expr("substring(text, fresh - start + 1, length(text))").alias("new"))
+    parts = _split.pieces(table(spark, data, "documents")).groupBy("doc_id").agg(F.array_sort(F.collect_list(new)).alias("p"))
+    return parts.select("doc_id", F.array_join(F.col("p.new"), "").alias("text"))
+
+
 _FOLD = "replace(replace(lower({}), 'ß', 'ss'), 'ς', 'σ')"
 _BARE = f"regexp_replace({_FOLD}, '[\\p{{{{P}}}}$+<=>^`|~\\s\\p{{{{Z}}}}\\x85]+', '', 'g')"
 _NAME = f"nullif(regexp_replace({_FOLD}, '[_\\s\\p{{{{Z}}}}\\x85]+', '', 'g'), '')"
@@ -122,7 +130,7 @@ def p4_copies(spark: SparkSession, data: str) -> DataFrame:
     return _duplicates.groups(table(spark, data, "qa_ref"))
 
 
-@query()
+@query(_CANON + "SELECT q.*, g.copies FROM qa_ref AS q JOIN (SELECT min(ordinal) AS ordinal, count(*) AS copies FROM c GROUP BY key) AS g ON q.ordinal = g.ordinal")
 def p4_records(spark: SparkSession, data: str) -> DataFrame:
     return _duplicates.collapsed(table(spark, data, "qa_ref"))
 

@@ -2,42 +2,56 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillarn.functions.text import stripped, words
+from quillarn.session import cut
 
 #: Rows of a range of an order, about: running values are taken within ranges and over the ranges' totals.
 RANGE = 65_536
 
 
-def ranges(df: DataFrame, order: str) -> Column:
-    """The number of the range a row's ``order`` falls into. Where orders are dense, ranges are of equal width; else they are
-    cut at quantiles, so that sparse and hashed orders too make ranges of about ``RANGE`` rows. One pass over the column."""
+Cells = Callable[[Column], Column]
+
+
+def dense_ranges(order: Column) -> Column:
+    """The range of an order without gaps that begins near 0."""
+    return F.floor(order / RANGE).cast("bigint")
+
+
+def ranges(df: DataFrame, order: str) -> Cells:
+    """What gives an order its range. Where the orders of ``df`` are dense, ranges are of equal width; else they are cut at
+    quantiles, so that sparse and hashed orders too make ranges of about ``RANGE`` rows. Reads the column once or twice."""
     n, low, high = df.agg(F.count(order), F.min(order), F.max(order)).first()
     parts = -(-n // RANGE) if n else 1
     if parts == 1:
-        return F.lit(0).cast("bigint")
+        return lambda x: F.lit(0).cast("bigint")
     if high - low < 2 * n:
-        return F.floor((F.col(order) - low) / RANGE).cast("bigint")
+        return lambda x: F.floor((x - low) / RANGE).cast("bigint")
     at = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * parts)).first()[0]
     bounds = sorted(set(at))
-    cuts, steps = F.array(*map(F.lit, bounds)), range(len(bounds).bit_length() - 1, -1, -1)
-    # binary search: the number of bounds that aren't above
-    found = F.lit(0)
-    for k in steps:
-        found = F.when((found + (1 << k) <= len(bounds)) & (F.get(cuts, found + ((1 << k) - 1)) <= F.col(order)), found + (1 << k)).otherwise(found)
-    return found.cast("bigint")
+
+    def cell(x: Column) -> Column:
+        # binary search: the number of bounds that aren't above
+        cuts, found = F.array(*map(F.lit, bounds)), F.lit(0)
+        for k in range(len(bounds).bit_length() - 1, -1, -1):
+            found = F.when((found + (1 << k) <= len(bounds)) & (F.get(cuts, found + ((1 << k) - 1)) <= x), found + (1 << k)).otherwise(found)
+        return found.cast("bigint")
+
+    return cell
 
 
-def running(df: DataFrame, value: Column, order: str, to: str, by: list[str] | None = None, biggest: bool = False) -> DataFrame:
+def running(df: DataFrame, value: Column, order: str, to: str, by: list[str] | None = None, biggest: bool = False, cells: Cells | None = None) -> DataFrame:
     """``df`` with ``to``: the sum of ``value`` over all rows of less ``order`` (or the greatest value up to the row itself
     with ``biggest``), in each group of ``by``. ``order`` is numeric and unique in its group. Two levels: a window in each
-    range of the order and one over the ranges, whose number is that of the rows by ``RANGE``."""
+    range of the order and one over the ranges, whose number is that of the rows by ``RANGE``. ``cells`` gives the ranges if
+    they are known; else ``ranges`` looks for them."""
     by = by or []
-    r = df.withColumn("_v", value).withColumn("_r", ranges(df, order))
+    r = df.withColumn("_v", value).withColumn("_r", (cells or ranges(df, order))(F.col(order)))
     agg = F.max if biggest else F.sum
     totals = r.groupBy(*by, "_r").agg(agg("_v").alias("_t"))
     earlier = Window.partitionBy(*by, F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,7 +80,7 @@ def passages(records: DataFrame, size: int = 100) -> DataFrame:
     of the record before (stripped), and that one has no gap after it. Ids that come twice and kept records without a title
     raise.
 
-    Articles and word offsets are found on a thin table. Each record is then cut at the borders of its article's passages:
+    Articles and word offsets are found on a thin table, which is written once. Each record is then cut at the borders of its article's passages:
     a passage within a record is done at once, only the parts of others are brought together."""
     if unordered(records).limit(1).count():
         raise ValueError("ids must be in strict order")
@@ -74,17 +88,18 @@ def passages(records: DataFrame, size: int = 100) -> DataFrame:
     kept = records.where("keep")
     w = words(F.coalesce("text", F.lit("")))
     title = F.coalesce(stripped(F.col("title")), F.raise_error(F.concat(F.lit("no title: record "), F.col("id").cast("string"))).cast("string"))
-    thin = kept.select("id", F.col("title").alias("raw"), title.alias("title"), gap.alias("gap"), F.size(w).cast("bigint").alias("n"))
+    thin = cut(kept.select("id", F.col("title").alias("raw"), title.alias("title"), gap.alias("gap"), F.size(w).cast("bigint").alias("n")), "records")
+    cells = ranges(thin, "id")
     before = thin.select((F.col("id") + 1).alias("id"), F.col("title").alias("_before"), (~F.col("gap")).alias("_goes_on"))
     marked = thin.join(before, "id", "left").withColumn("start", F.when(F.coalesce(F.col("_goes_on"), F.lit(False)) & (F.col("raw") == F.col("_before")), None).otherwise(F.col("id")))
-    marked = running(marked.select("id", "title", "n", "start"), F.col("start"), "id", "article", biggest=True)
-    marked = running(marked, F.col("n"), "id", "ahead")
+    marked = running(marked.select("id", "title", "n", "start"), F.col("start"), "id", "article", biggest=True, cells=cells)
+    marked = running(marked, F.col("n"), "id", "ahead", cells=cells)
     bases = marked.where("start is not null").select("article", F.col("ahead").alias("base"))
     sizes = marked.groupBy("article").agg(F.sum("n").alias("words"))
-    first = running(sizes.where("words > 0").withColumn("k", F.ceil(F.col("words") / size)), F.col("k"), "article", "first_id").select("article", F.col("words"), "first_id")
+    first = running(sizes.where("words > 0").withColumn("k", F.ceil(F.col("words") / size)), F.col("k"), "article", "first_id", cells=cells).select("article", F.col("words"), "first_id")
     placed = marked.join(bases, "article").join(first, "article").select("id", "article", "title", "words", "first_id", (F.col("ahead") - F.col("base")).alias("at"), "n")
-    cut = kept.select("id", w.alias("w")).join(placed.where("n > 0"), "id")
-    parts = cut.select("*", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))).alias("passage"))
+    whole_records = kept.select("id", w.alias("w")).join(placed.where("n > 0"), "id")
+    parts = whole_records.select("*", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))).alias("passage"))
     low = F.greatest(F.col("at"), F.col("passage") * size)
     high = F.least(F.col("at") + F.col("n"), (F.col("passage") + 1) * size)
     whole = (high - low) == F.least(F.lit(size).cast("bigint"), F.col("words") - F.col("passage") * size)
@@ -98,14 +113,14 @@ def runs(df: DataFrame, order: str, same: str, to: str = "run") -> DataFrame:
     """``df``, whose ``order`` is dense, with the order at which the run of equal ``same`` around a row began."""
     before = df.select((F.col(order) + 1).alias(order), F.col(same).alias("_before"), F.lit(True).alias("_any"))
     start = F.when(F.col("_any") & F.col(same).eqNullSafe(F.col("_before")), None).otherwise(F.col(order))
-    return running(df.join(before, order, "left").withColumn("_start", start), F.col("_start"), order, to, biggest=True).drop("_before", "_any", "_start")
+    return running(df.join(before, order, "left").withColumn("_start", start), F.col("_start"), order, to, biggest=True, cells=dense_ranges).drop("_before", "_any", "_start")
 
 
 def consecutive_batches(df: DataFrame, order: str, same: str, size: int, to: str = "batch") -> DataFrame:
     """``df``, whose ``order`` is dense, with dense numbers of batches: a new one begins after ``size`` rows of a run of
     equal ``same``, and with each run."""
     r = runs(df, order, same, "_run").withColumn("_first", ((F.col(order) - F.col("_run")) % size == 0).cast("bigint"))
-    numbered = running(r, F.col("_first"), order, "_before")
+    numbered = running(r, F.col("_first"), order, "_before", cells=dense_ranges)
     return numbered.withColumn(to, F.col("_before") + F.col("_first") - 1).drop("_run", "_first", "_before")
 
 

@@ -42,10 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: later plans start there, and an executor's loss
-    costs only the tasks it was running."""
+    costs only the tasks it was running. The table is deleted when the driver's JVM ends, or before by ``drop``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillarn/{what}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillarn_path = path
     return out

@@ -173,7 +173,7 @@ def test_running_over_sparse_orders(spark, monkeypatch):
     """Hashed orders are cut into ranges by quantiles, not one for each row."""
     monkeypatch.setattr(sequence, "RANGE", 50)
     df = spark.range(1000).select(F.xxhash64("id").alias("o"), (F.col("id") % 7).alias("v"))
-    assert df.select(sequence.ranges(df, "o").alias("r")).distinct().count() in range(10, 41)
+    assert df.select(sequence.ranges(df, "o")(F.col("o")).alias("r")).distinct().count() in range(10, 41)
     got = {r.o: r.s for r in sequence.running(df, F.col("v"), "o", "s").collect()}
     total = 0
     for r in sorted(df.collect()):

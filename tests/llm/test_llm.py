@@ -308,6 +308,34 @@ def test_overlaps_against_brute_force(spark):
     assert {(r.train_id, r.eval_id) for r in overlap.overlaps(spark.createDataFrame(rows, CAL)).collect()} == expect and expect
 
 
+def test_chains_of_seeds():
+    """Selected n-grams of equal stretches are shared, chains grow in both, anchors are equal words, and the coverage is that
+    of a full alignment."""
+    rng = random.Random(11)
+    words_ = ["what", "did", "the", "old", "harbour", "zorvadiel", "kleminthor", "for", "living", "river"]
+    usual = set(words_) - {"zorvadiel", "kleminthor"}
+    for _ in range(300):
+        x = [rng.choice(words_) for _ in range(rng.randrange(1, 14))]
+        y = list(x)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randrange(2)] = [rng.choice(words_)] * rng.randrange(2)
+        a, b = " ".join(x), " ".join(y)
+        if not b:
+            continue
+        run = max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b), default=0)
+        if run >= overlap.GRAM + overlap.WINDOW - 1:
+            assert overlap.prints(a).keys() & overlap.prints(b).keys()
+        c = overlap.chain(a, b)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(c, c[1:]))
+        w = overlap.anchors(a, b)
+        assert all(x[i] == y[j] for i, j in w) and all(i < k and j < m for (i, j), (k, m) in zip(w, w[1:]))
+        n, gaps = overlap.align(x, y)
+        full = overlap.settled(n, gaps, len(x) + len(y), usual)
+        assert overlap.coverage(a, b, usual) >= overlap.COVERAGE or full < overlap.COVERAGE
+        assert overlap.coverage(a, b, usual) <= 2 * n / (len(x) + len(y)) + 1e-9
+
+
 def test_coverage_by_record(spark, tmp_path):
     from quillarn.llm import queries
 

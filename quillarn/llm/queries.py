@@ -1,6 +1,8 @@
 """The registry of the subpackage's queries and SQL."""
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,7 +147,28 @@ def p10_restored(spark: SparkSession, data: str) -> DataFrame:
     return _mojibake.restored(table(spark, data, "documents"))
 
 
-@query()
+def _forms() -> str:
+    """What single characters of the test tables' scripts are in the one form, as rows of SQL."""
+    latin = {c: x for x, others in _lookalike.LOOKS.items() for c in others}
+    rows = []
+    for c in map(chr, [*range(0x80, 0x3100), *range(0xFF00, 0xFFF0)]):
+        parts = unicodedata.normalize("NFD", "".join(_lookalike._open(x) for x in unicodedata.normalize("NFD", c)))
+        form = unicodedata.normalize("NFC", "".join(latin.get(x, x) for x in parts))
+        if form != c:
+            rows.append("('{}', '{}')".format(c, form.replace("'", "''")))
+    return ", ".join(rows)
+
+
+_READ = rf"""WITH fm(c, r) AS (VALUES {_forms()}), refs AS (SELECT stable_id, aliases FROM qa_ref UNION ALL SELECT stable_id, aliases FROM eval_item),
+texts AS (SELECT DISTINCT t FROM (SELECT prediction AS t FROM predictions UNION ALL SELECT unnest(aliases) FROM refs) WHERE t IS NOT NULL),
+seen AS (SELECT t, nfc_normalize(regexp_replace(t, '[\p{{Cf}}\x{{34f}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{3164}}\x{{ffa0}}\x{{fe00}}-\x{{fe0f}}\x{{e0100}}-\x{{e01ef}}]', '', 'g')) AS u FROM texts),
+ch AS (SELECT t, unnest(regexp_extract_all(u, '(?s).')) AS c, unnest(range(len(regexp_extract_all(u, '(?s).')))) AS i FROM seen),
+forms AS (SELECT t, trim(regexp_replace(nfc_normalize(string_agg(coalesce(r, c), '' ORDER BY i)), '[\s\p{{Z}}]+', ' ', 'g'), ' ') AS f FROM ch LEFT JOIN fm USING (c) GROUP BY t),
+known AS (SELECT DISTINCT stable_id, a, f FROM (SELECT stable_id, unnest(aliases) AS a FROM refs) JOIN forms ON a = t)
+SELECT ordinal FROM predictions AS p JOIN forms ON prediction = t WHERE f <> '' AND EXISTS (SELECT 1 FROM known AS k WHERE k.stable_id = p.stable_id AND k.f = forms.f) AND NOT EXISTS (SELECT 1 FROM known AS k WHERE k.stable_id = p.stable_id AND k.a = p.prediction)"""
+
+
+@query(_READ)
 def p5_found(spark: SparkSession, data: str) -> DataFrame:
     return _lookalike.same_reading(table(spark, data, "predictions"), [table(spark, data, "qa_ref"), table(spark, data, "eval_item")])
 

@@ -308,6 +308,40 @@ def test_overlaps_against_brute_force(spark):
     assert {(r.train_id, r.eval_id) for r in overlap.overlaps(spark.createDataFrame(rows, CAL)).collect()} == expect and expect
 
 
+def test_a_name_near_a_misspelt_usual_word(spark):
+    """A name that aligns with what may be a usual word misspelt (``wuld``) is a name in common."""
+    rows = [("f", "d", "what was the trade of wuld before the great flood", ["clerk"], "fit", None, None), ("e", "d", "what was the trade of wule before the great flood", ["clerk"], "dev", None, None)]
+    rows += [("g", "d", "what was the trade of hidrour wuld before the great flood", ["mason"], "dev", None, None), ("h", "d", "what was the trade of wule draberk before the great flood", ["mason"], "fit", None, None)]
+    rows += [(f"t{i}", "d", f"what was the trade of n{i}a m{i}b before the great flood", [f"A{i}"], "fit", None, None) for i in range(300)]
+    assert {(r.train_id, r.eval_id) for r in overlap.overlaps(spark.createDataFrame(rows, CAL)).collect()} == {("f", "e"), ("h", "g")}
+
+
+def test_candidates_lose_no_pair():
+    """Whatever is misspelt, questions of enough coverage have a name that may align or frames that may fit."""
+    rng = random.Random(13)
+    words_ = "what did the for living when was old mill come taught play organ winter orchard town built founded".split()
+    usual, near = set(words_), 0
+    frames = overlap.Frames(usual)
+
+    def spelt(w):
+        i = rng.randrange(len(w) - 1)
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "o" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+    for _ in range(4000):
+        x = [rng.choice(words_) for _ in range(rng.randrange(3, 11))]
+        for _ in range(rng.randrange(3)):
+            x[rng.randrange(len(x))] = rng.choice(["zorvad", "lome", "42", spelt(spelt(rng.choice(words_)) + "e")])
+        y = [rng.choice([w, w, w, spelt(w) if len(w) > 2 else w, rng.choice(words_)]) for w in x]
+        y[rng.randrange(len(y)) :][: rng.randrange(2)] = []
+        y.insert(rng.randrange(len(y) + 1), rng.choice(["please", "lome", "kleminth"]))
+        a, b = " ".join(x), " ".join(y)
+        (fa, na, la), (fb, nb, lb) = frames.frame(a), frames.frame(b)
+        if overlap.coverage(a, b, usual) >= overlap.COVERAGE:
+            near += 1
+            assert {*na} & {*nb, *lb} or {*la} & {*nb} or overlap.reach(fa, fb.replace("*", "+"), usual) >= overlap.COVERAGE
+    assert near > 500
+
+
 def test_chains_of_seeds():
     """Selected n-grams of equal stretches are shared, chains grow in both, anchors are equal words, and the coverage is that
     of a full alignment."""
